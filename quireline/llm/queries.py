@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm import decontaminate, language_id, media_png, url_rules
+from quireline.llm import arc_convert, bpe_stream, decontaminate, language_id, media_png, token_planes, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,28 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(judged)
 
 
+#: The end id and the vocabulary file that the token queries use.
+END_ID, VOCABULARY = 1, "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shards = token_planes.write_shards(docs, vocabulary_path(), end_id=END_ID)
+    return token_planes.read_documents(token_planes.shard_rows(spark, shards), docs.schema["doc_id"].dataType.simpleString())
+
+
+def op5_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = arc_convert.scan_arcs(arc_convert.write_arcs(table(spark, sf_dir, "pages")))
+    archives = arc_convert.convert_arcs(arc_convert.choose(records, least_bytes=0))
+    return arc_convert.read_warcs(archives)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = language_id.held_out_fold(F.col("doc_id"))
@@ -24,6 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.withColumn("held_out", fold == 1), profiles, keep=("doc_id", "held_out"))
 
 
+def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quireline.llm.storage import written
 
@@ -56,7 +82,10 @@ SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM par
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_token_planes": op4_token_planes,
+    "op5_arc_convert": op5_arc_convert,
     "op6_language_id": op6_language_id,
+    "op8_bpe_stream": op8_bpe_stream,
     "op9_media_png": op9_media_png,
     "op10_url_rules": op10_url_rules,
 }
