@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm import arc_convert, bpe_stream, chat_format, decontaminate, language_id, license_scan, media_png, token_planes, url_rules
+from quireline.llm import arc_convert, bpe_stream, chat_format, decontaminate, jaccard_join, language_id, license_scan, media_png, token_planes, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.withColumn("held_out", fold == 1), profiles, keep=("doc_id", "held_out"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, threshold=85)
+
+
 def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -116,6 +120,7 @@ QUERIES = {
     "op4_token_planes": op4_token_planes,
     "op5_arc_convert": op5_arc_convert,
     "op6_language_id": op6_language_id,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe_stream": op8_bpe_stream,
     "op9_media_png": op9_media_png,
     "op10_url_rules": op10_url_rules,
