@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quireline.plans import outline
+from quireline.plans import lines, ordered, outline
 
-QUERIES = {**outline.QUERIES}
-ORACLES = {**outline.ORACLES}
+_PLANS = (outline, lines, ordered)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
