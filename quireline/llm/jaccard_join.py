@@ -3,18 +3,21 @@
 A text's set is its distinct k-word shingles, kept as sorted 64-bit hashes. Two texts link if 100 * |A n B| >= threshold * |A u B|.
 
 1. Texts with equal sets are one class, found by a 128-bit digest of the set.
-2. Similar classes are put into groups: classes that agree in some pair of bin minima are compared with one of them, the leader, and the
-   links found make connected groups. The work is linear in the number of classes, however large a group of near copies is.
+2. Similar classes are partitioned into groups: a class joins the group of the commonest of its keys, which are hashes of pairs of bin
+   minima. Near copies, linked or not, fall into few groups; a class without a partner is a group of its own.
 3. The token-group matrix holds, for each group, the union of its members' prefix tokens. In one order of all tokens, rare ones first, two
-   sets that link share ``SHARED`` of the first ``n - ceil(t n) + SHARED`` tokens. Groups that share fewer are not looked at further.
-4. Of the other pairs of groups, blocks of members are compared: a query is bounded by its overlap with the union of the block's tokens,
-   the block is opened only if that can reach the threshold, and members are then compared one by one. The first link joins the two groups.
-5. Links of groups make the components; a text's component is the smallest doc_id in it.
+   sets that link share ``SHARED`` of the first ``n - ceil(t n) + SHARED`` tokens. Pairs of groups that share fewer are not looked at further.
+4. Of the other pairs of groups (and within groups), blocks of members are opened against each other: a query is bounded by its overlap with
+   the union of the block's tokens, and those that can reach the threshold are compared with the block by one product of incidence
+   matrices. Of the links found, a spanning forest is returned.
+5. Links make the components; a text's component is the smallest doc_id in it.
 
-No link between different components can be missed: step 2 only joins texts that do link, and steps 3 and 4 skip only what the bounds rule
-out. The order of tokens comes from their counts in a share of the texts; it changes how many groups are opened, never the result.
+No link can be missed: every pair of classes is in one group or in a pair of groups, and steps 3 and 4 skip only what the bounds rule out. The
+order of tokens comes from their counts in a share of the texts; it changes how many groups are opened, never the result. A block's tasks
+are fixed in size, whatever the size of a group, and a text travels once for each block that it is opened against.
 
-Tables of sets, groups and links are written to the shared folder. Nothing is collected but a bounded list of the commonest tokens.
+Tables of sets, groups and links are written to the shared folder. Nothing is collected but bounded lists: the commonest tokens, and a bit
+map of wanted texts, whose false hits a join removes.
 
 Null and empty texts have an empty set and link with nothing: their component is their own doc_id. With fewer than k words the whole sequence
 is the one shingle. A null doc_id is part of its class, but never the smallest. Rows with one doc_id are rows of their own.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireline.llm.components import components
@@ -37,9 +40,11 @@ from quireline.llm.storage import written
 #: Shared prefix tokens that a pair of groups needs; pairs of bin minima by which classes are grouped.
 SHARED, BANDS = 4, 6
 #: One text in so many is counted for the order of tokens; tokens in so many of them are common; at most so many common ones are listed.
-COUNTED, COMMON, LISTED = 8, 6, 1 << 18
-#: Members of a block.
-BLOCK = 256
+COUNTED, COMMON, LISTED = 16, 4, 1 << 18
+#: Members of a block, columns of an incidence matrix, and most bits of the map of wanted texts.
+BLOCK, COLUMNS, MAP_BITS = 2048, 2048, 1 << 28
+#: Parts into which the rows of one key are dealt.
+SALTS = 8
 
 
 def _least(n, threshold: int):
@@ -107,7 +112,7 @@ def _common_tokens(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], (len(tokens) - 1 - np.arange(len(tokens)))[order]
 
 
-_SKETCH = "th long, n long, node binary, keys array<long>, prefix binary"
+_SKETCH = "tk long, n long, node binary, keys array<long>, prefix binary"
 
 
 def _sketch(k: int, threshold: int, common):
@@ -126,25 +131,72 @@ def _sketch(k: int, threshold: int, common):
     return run
 
 
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with g, the group of the commonest key (of equals the largest), or one of its own."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(shared, ["key", "salt"])
+    best = found.groupBy("node").agg(F.max(F.struct("size", "key")).alias("best"))
+    return nodes.join(best, "node", "left").select("node", "lowest", "tk", "rk", "n", F.coalesce("best.key", F.xxhash64("node")).alias("g"))
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """token, g, n of each prefix token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix").to_pylist()
+            sizes = [len(p) // 8 for p in prefix]
+            token = np.frombuffer(b"".join(prefix), np.int64)
+            repeated = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("g", "n")]
+            for low in range(0, len(token), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[low : low + (1 << 17)]) for x in (token, *repeated)], names=["token", "g", "n"])
+
+    return prefixes.select("g", "n", "prefix").mapInArrow(run, "token long, g long, n int")
+
+
+def _group_pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of groups (a < b) whose rows of the token-group matrix share enough tokens. ``members``: g, n, prefix, size (of the group)."""
+    lone = _postings(members.filter("size = 1")).select("token", "g", F.col("n").alias("low"), F.col("n").alias("high"))
+    more = _postings(members.filter("size > 1")).groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = lone.unionByName(more)
+    a, b = (matrix.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("g", "low", "high"))) for side in "ab")
+    fits = (F.col("g_a") < F.col("g_b")) & (100 * F.col("high_a") >= threshold * F.col("low_b")) & (100 * F.col("high_b") >= threshold * F.col("low_a"))
+    needed = F.least(F.lit(SHARED), F.floor((threshold * F.least("low_a", "low_b") + 99) / 100))
+    counted = a.join(b, "token").filter(fits).groupBy(F.col("g_a").alias("a"), F.col("g_b").alias("b")).agg(F.count("*").alias("shared"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"))
+    return counted.filter(F.col("shared") >= needed).select("a", "b")
+
+
+def _bit_map(wanted: DataFrame) -> np.ndarray:
+    """Bits at the hashes ``tk``, eight a row or more; of bounded size, so with false hits where there are very many rows."""
+    bits = min(MAP_BITS, 1 << max(12, (8 * wanted.count()).bit_length()))
+    place = F.pmod("tk", F.lit(bits))
+    rows = wanted.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(tk, {bits}) & 31 as int))")).alias("set")).collect()
+    out = np.zeros(bits // 32, np.uint32)
+    out[[r.word for r in rows]] = [r.set for r in rows]
+    return out
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, tokens of the classes in ``wanted`` (th, node), from the texts again."""
+    """node, tokens of the classes whose texts' hashes are ``tk`` of ``wanted``, and of some more."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bit_map(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
         for batch in batches:
-            held = [tokens for _, tokens in token_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(t) for t in held], pa.binary()), pa.array([t.tobytes() for t in held], pa.binary())], names=["node", "tokens"])
+            place = batch.column("tk").to_numpy() % (len(held) * 32)
+            hit = (held[place >> 5] >> (place & 31).astype(np.uint32)) & 1
+            some = batch.column("text").filter(pa.array(hit.astype(bool)))
+            found = [tokens for _, tokens in token_sets(some, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(t) for t in found], pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())], names=["node", "tokens"])
 
-    some = texts.filter("text IS NOT NULL").select("th", "text").join(wanted.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-    return written(some.select("text").mapInArrow(run, "node binary, tokens binary"), "jaccard-sets")
+    return texts.filter("text IS NOT NULL").select("tk", "text").mapInArrow(run, "node binary, tokens binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
-    if 100 * len(a) < threshold * len(b):
-        return False
-    place = np.searchsorted(b, a)
-    both = int((b[np.minimum(place, len(b) - 1)] == a).sum())
+    both = _overlap(a, b)
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
@@ -152,142 +204,147 @@ def _overlap(query: np.ndarray, union: np.ndarray) -> int:
     return int((union[np.minimum(np.searchsorted(union, query), len(union) - 1)] == query).sum())
 
 
-def _compare(threshold: int, names: list[str], every: bool):
-    """Batches of (key columns, side, node, tokens) sorted by key and side: links between the queries (side 0) and the block (side 1) of a
-    key. ``every``: all links, as (node, node); else the key columns of keys with a link."""
-
-    def links(queries: list, block: list) -> Iterator[tuple]:
-        if not queries or not block:
+def _shared_counts(queries: list[np.ndarray], block: list[np.ndarray]) -> np.ndarray:
+    """|Q n M| of each query and member, by products of incidence matrices over the tokens that both sides have."""
+    flat = [np.concatenate(x) for x in (queries, block)]
+    row = [np.repeat(np.arange(len(x)), [len(t) for t in x]) for x in (queries, block)]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(queries), len(block)), np.float32)
+    if len(shared):
+        place = [np.minimum(np.searchsorted(shared, x), len(shared) - 1) for x in flat]
+        good = [shared[p] == x for p, x in zip(place, flat, strict=True)]
+        for low in range(0, len(shared), COLUMNS):
+            matrices = []
+            for p, g, r, x in zip(place, good, row, (queries, block), strict=True):
+                own = g & (p >= low) & (p < low + COLUMNS)
+                m = np.zeros((len(x), min(COLUMNS, len(shared) - low)), np.float32)
+                m[r[own], p[own] - low] = 1
+                matrices.append(m)
+            out += matrices[0] @ matrices[1].T
+    return out
+
+
+def forest(links: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(row, column) pairs that connect what the true cells connect; each row or column but one of a component gives one at most two steps off."""
+    rows, columns = links.shape
+    row = np.where(links.any(1), np.arange(rows), rows + columns)
+    column = np.full(columns, rows + columns)
+    while True:
+        column = np.minimum(column, np.where(links, row[:, None], rows + columns).min(0))
+        lower = np.minimum(row, np.where(links, column[None, :], rows + columns).min(1))
+        if (lower == row).all():
+            break
+        row = lower
+    for i in range(rows):
+        if row[i] < i:
+            yield i, -1 - int(row[i])
+    for j in range(columns):
+        if column[j] < rows:
+            yield int(column[j]), j
+
+
+def _open(threshold: int):
+    """Batches of (a, b, block_a, block_b, side, node, tokens) in this order: links between sides 0 and 1, or within side 0 if there is no other."""
+
+    def links(queries: list, block: list, same: bool) -> Iterator[tuple]:
+        if same:
+            block = queries
+        if not queries or not block or same and len(queries) < 2:
+            return
+        if len(queries) == 1 and len(block) == 1:
+            if linked(queries[0][1], block[0][1], threshold):
+                yield queries[0][0], block[0][0]
             return
-        union = np.unique(np.concatenate([t for _, t in block]))
-        for q, own in queries:
-            if _overlap(own, union) >= _least(len(own), threshold):  # the block is opened
-                for m, tokens in block:
-                    if linked(own, tokens, threshold):
-                        yield q, m
+        kept = []
+        for side, other in ((queries, block), (block, queries)):
+            union = np.unique(np.concatenate([t for _, t in other]))
+            kept.append(side if same else [x for x in side if _overlap(x[1], union) >= _least(len(x[1]), threshold)])
+            if not kept[-1]:
+                return
+        queries, block = kept
+        both = _shared_counts([t for _, t in queries], [t for _, t in block])
+        total = np.array([len(t) for _, t in queries])[:, None] + np.array([len(t) for _, t in block])[None, :]
+        for i, j in forest(100 * both >= threshold * (total - both)):
+            a, b = queries[i][0], (block[j] if j >= 0 else queries[-1 - j])[0]
+            if a != b:
+                yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, queries, block = None, [], []
 
-        def close() -> list[tuple]:
-            found = links(queries, block)
-            return list(found) if every else [key] if next(found, None) else []
-
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.binary(), pa.binary()] if every else [f.type for f in types]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b"] if every else names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["a", "b"])
+
+        def close() -> list[tuple]:
+            return list(links(queries, block, key[0] == key[1] and key[2] == key[3])) if key else []
 
-        types: list = []
         for batch in batches:
-            types = [batch.schema.field(n) for n in names]
             rows = []
-            keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
+            keys = zip(*(batch.column(n).to_pylist() for n in ("a", "b", "block_a", "block_b")), strict=True)
             for now, side, node, tokens in zip(keys, batch.column("side").to_pylist(), batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 if now != key:
                     rows += close()
                     key, queries, block = now, [], []
-                (block if side else queries).append((node, np.frombuffer(tokens, np.uint64)))
+                own = block if side else queries
+                if not own or own[-1][0] != node:  # a class may have come more than once
+                    own.append((node, np.frombuffer(tokens, np.uint64)))
             if rows:
                 yield out(rows)
-        if key is not None and (rows := close()):
+        if rows := close():
             yield out(rows)
 
     return run
 
 
-def _streamed(rows: DataFrame, names: list[str], run, schema: str) -> DataFrame:
-    return rows.repartition(*names).sortWithinPartitions(*names, "side").mapInArrow(run, schema)
-
-
-def _star_links(nodes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Links between classes and the leaders of the groups that their band keys put them in."""
-    banded = nodes.select("node", "n", "th", F.explode("keys").alias("key"))
-    me = F.struct("node", "n", "th")
-    leaders = banded.groupBy("key").agg(F.min(me).alias("leader"), F.count("*").alias("size")).filter("size > 1").select("key", "leader", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    pairs = banded.withColumn("salt", F.pmod(F.hash("node"), F.lit(8))).join(leaders, ["key", "salt"])
-    close = (100 * F.least("n", "leader.n") >= threshold * F.greatest("n", "leader.n")) & (F.col("node") != F.col("leader.node"))
-    pairs = written(pairs.filter(close).select("node", "th", F.col("leader.node").alias("leader"), F.col("leader.th").alias("leader_th")).distinct(), "jaccard-pairs")
-    sets = _sets(texts, pairs.select("th").union(pairs.select("leader_th")), k)
-    spread = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(spread, "leader").select("leader", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(1).alias("side"), "node")
-    heads = members.select("leader", "block").distinct().select("leader", "block", F.lit(0).alias("side"), F.col("leader").alias("node"))
-    rows = heads.unionByName(members).join(sets, "node")
-    return _streamed(rows, ["leader", "block"], _compare(threshold, ["leader", "block"], True), "a binary, b binary")
-
-
-def _postings(prefixes: DataFrame) -> DataFrame:
-    """token, g, n of each prefix token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = batch.column("prefix").to_pylist()
-            sizes = [len(p) // 8 for p in prefix]
-            token = np.frombuffer(b"".join(prefix), np.int64)
-            for low in range(0, len(token), 1 << 18):
-                high = low + (1 << 18)
-                repeated = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)[low:high] for c in ("g", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(token[low:high]), *(pa.array(x, pa.int64()) for x in repeated)], names=["token", "g", "n"])
-
-    return prefixes.select("g", "n", "prefix").mapInArrow(run, "token long, g long, n long")
-
-
-def _group_pairs(grouped: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of groups (a < b) whose rows of the token-group matrix share enough tokens. ``grouped``: node, n, prefix, g, members."""
-    lone = _postings(grouped.filter("members = 1")).select("token", "g", F.col("n").alias("low"), F.col("n").alias("high"))
-    more = _postings(grouped.filter("members > 1")).groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = lone.unionByName(more)
-    a, b = (matrix.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("g", "low", "high"))) for side in "ab")
-    fits = (F.col("a_g") < F.col("b_g")) & (100 * F.col("a_high") >= threshold * F.col("b_low")) & (100 * F.col("b_high") >= threshold * F.col("a_low"))
-    joined = a.join(b, "token").filter(fits)
-    needed = F.least(F.lit(SHARED), F.floor((threshold * F.least("low_a", "low_b") + 99) / 100))
-    counted = joined.groupBy(F.col("a_g").alias("a"), F.col("b_g").alias("b")).agg(F.count("*").alias("shared"), F.min("a_low").alias("low_a"), F.min("b_low").alias("low_b"))
-    return counted.filter(F.col("shared") >= needed).select("a", "b")
-
-
-def _group_links(grouped: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs of groups with a link between members."""
-    bounds = grouped.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def _links(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links (node, node) that connect the members of groups and of pairs of groups as all their links do. ``members``: node, tk, n, g, size."""
+    bounds = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     a, b = (bounds.select(F.col("g").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "blocks"))) for side in "ab")
-    sized = written(pairs.join(a, "a").join(b, "b"), "jaccard-open")
-    member = grouped.select("g", "node", "n", "th")
+    sized = pairs.join(a, "a").join(b, "b")
+    member = members.select("g", "node", "n", "tk")
 
     def side(own: str, other: str, number: int) -> DataFrame:
         fits = (100 * F.col("n") >= threshold * F.col(f"low_{other}")) & (threshold * F.col("n") <= 100 * F.col(f"high_{other}"))
         rows = sized.join(member, sized[own] == member.g).filter(fits)
         mine = F.pmod(F.hash("node"), F.col(f"blocks_{own}")).alias(f"block_{own}")
-        return rows.select("a", "b", mine, F.explode(F.sequence(F.lit(0), F.col(f"blocks_{other}") - 1)).alias(f"block_{other}"), F.lit(number).alias("side"), "node", "th")
-
-    rows = side("a", "b", 0).unionByName(side("b", "a", 1))
-    rows = written(rows, "jaccard-members")
-    sets = _sets(texts, rows.select("th"), k)
+        return rows.select("a", "b", mine, F.explode(F.sequence(F.lit(0), F.col(f"blocks_{other}") - 1)).alias(f"block_{other}"), F.lit(number).alias("side"), "node", "tk")
+
+    within = members.filter("size > 1").join(bounds, "g").withColumn("mine", F.pmod(F.hash("node"), F.col("blocks")))
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # of two blocks of one group the lower number asks; a block against itself has only one side
+    asks = F.transform(F.filter(blocks, lambda i: i >= F.col("mine")), lambda i: F.struct(F.col("mine").alias("block_a"), i.alias("block_b"), F.lit(0).alias("side")))
+    told = F.transform(F.filter(blocks, lambda i: i < F.col("mine")), lambda i: F.struct(i.alias("block_a"), F.col("mine").alias("block_b"), F.lit(1).alias("side")))
+    inner = within.select(F.col("g").alias("a"), F.col("g").alias("b"), F.inline(F.concat(asks, told)), "node", "tk").select("a", "b", "block_a", "block_b", "side", "node", "tk")
+    rows = written(side("a", "b", 0).unionByName(side("b", "a", 1)).unionByName(inner), "jaccard-open")
+    wanted = rows.select("tk").distinct()
+    sets = _sets(texts, wanted, k)
     names = ["a", "b", "block_a", "block_b"]
-    return _streamed(rows.drop("th").join(sets, "node"), names, _compare(threshold, names, False), "a long, b long, block_a int, block_b int").select("a", "b").distinct()
-
-
-def group_id(node: Column) -> Column:
-    return F.xxhash64(node)
+    opened = rows.drop("tk").join(sets, "node")
+    return opened.repartition(*names).sortWithinPartitions(*names, "side", "node").mapInArrow(_open(threshold), "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, threshold: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that it reaches by links), class_id (hex digest of its set)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tk", F.xxhash64("text", "doc_id"))
     common = spark.sparkContext.broadcast(_common_tokens(texts, k))
     kind = docs.schema[doc_id].dataType.simpleString()
-    sketches = written(texts.select("doc_id", "th", "text").mapInArrow(_sketch(k, threshold, common), f"doc_id {kind}, {_SKETCH}"), "jaccard-sketches")
-    # a class's texts may differ in white space, so the hash of any one of them finds its set again
-    nodes = written(sketches.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("th").alias("th"), F.first("keys").alias("keys"), F.first("prefix").alias("prefix")), "jaccard-classes")
-    stars = components(_star_links(nodes, texts, k, threshold), "jaccard-stars")
-    sizes = stars.groupBy("comp").agg(F.count("*").alias("members"))
-    held = nodes.join(stars.join(sizes, "comp"), "node", "left").select("node", "rep", "n", "th", "prefix", group_id(F.coalesce("comp", "node")).alias("g"), F.coalesce("members", F.lit(1)).alias("members"))
-    grouped = written(held, "jaccard-groups")
-    able = grouped.filter(F.col("n") >= min(n for n in range(1, 102) if 100 * n >= threshold * (n + 1)) if threshold < 100 else F.lit(False))
-    pairs = written(_group_pairs(able, threshold), "jaccard-candidates")
-    joined = components(_group_links(able, pairs, texts, k, threshold), "jaccard-joined").select(F.col("node").alias("g"), "comp")
-    final = grouped.select("node", "rep", "g").join(joined, "g", "left").select("node", "rep", F.coalesce("comp", "g").alias("whole"))
-    final = written(final, "jaccard-final")
-    lowest = final.groupBy("whole").agg(F.min("rep").alias("component_id"))
-    classes = written(final.join(lowest, "whole").select("node", "component_id"), "jaccard-components")
+    sketches = written(texts.select("doc_id", "tk", "text").mapInArrow(_sketch(k, threshold, common), f"doc_id {kind}, {_SKETCH}"), "jaccard-sketches")
+    # one row stands for a class: tk finds its text again, rk its sketch
+    rk = F.xxhash64("node", "doc_id", "tk")
+    chosen = sketches.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.min(F.struct("doc_id", "tk")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(chosen.select("node", "lowest", "one.tk", F.xxhash64("node", "one.doc_id", "one.tk").alias("rk"), "n", "keys"), "jaccard-classes")
+    grouped = _grouped(nodes)
+    least = min((n for n in range(1, 102) if 100 * n >= threshold * (n + 1)), default=1 << 62)  # smaller sets link only with equal ones
+    able = grouped.filter(F.col("n") >= least)
+    sizes = able.groupBy("g").agg(F.count("*").alias("size"))
+    members = written(able.join(sizes, "g"), "jaccard-groups")
+    prefixes = sketches.select(rk.alias("rk"), "prefix").join(members.select("rk", "g", F.col("n").cast("int").alias("n"), "size"), "rk")
+    pairs = written(_group_pairs(prefixes, threshold), "jaccard-candidates")
+    joined = components(_links(members, pairs, texts, k, threshold), "jaccard-joined")
+    final = nodes.select("node", "lowest").join(joined, "node", "left").select("node", "lowest", F.coalesce("comp", "node").alias("whole"))
+    lowest = joined.join(nodes.select("node", "lowest"), "node").groupBy(F.col("comp").alias("whole")).agg(F.min("lowest").alias("component_id"))
+    classes = written(final.join(lowest, "whole", "left").select("node", F.coalesce("component_id", "lowest").alias("component_id")), "jaccard-components")
     return sketches.select("doc_id", "n", "node").join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("node").alias("class_id"))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quireline.llm import jaccard_join as J
@@ -8,7 +9,7 @@ from quireline.llm.components import components
 
 
 def joined(spark, docs, **more):
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS node", "'y' AS n", "1 AS th")
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS node", "'y' AS n", "1 AS tk")
     rows = J.jaccard_components(df, **more).collect()
     assert len(rows) == len(docs)
     return {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
@@ -46,8 +47,6 @@ def test_groups_that_miss_each_other_are_joined_by_the_matrix(spark, monkeypatch
     rng = random.Random(3)
     bases = [" ".join("w" + str(rng.randrange(300)) for _ in range(80)) for _ in range(5)]
     docs = [(i, edited(rng, bases[i % 5], 0.01)) for i in range(40)]
-    sketch = {J.set_digest(t): J._band_keys(t) for t in ()}
-    assert sketch == {}
     assert joined(spark, docs) == J.brute_force(docs)
 
 
@@ -59,6 +58,35 @@ def test_large_group_very_long_texts_and_repeats(spark):
     assert joined(spark, docs) == J.brute_force(docs)
 
 
+def test_blocks_of_one_group(spark, monkeypatch):
+    # all in one group of many blocks
+    monkeypatch.setattr(J, "_band_keys", lambda tokens: [7])
+    monkeypatch.setattr(J, "BLOCK", 5)
+    monkeypatch.setattr(J, "COLUMNS", 16)
+    rng = random.Random(4)
+    bases = [" ".join("w" + str(rng.randrange(300)) for _ in range(60)) for _ in range(6)]
+    docs = [(i, edited(rng, bases[i % 6], rng.choice([0, 0.01, 0.04]))) for i in range(50)]
+    assert joined(spark, docs) == J.brute_force(docs)
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        links = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < rng.choice([0.05, 0.2, 0.6])
+        rows, columns = links.shape
+
+        def parts(edges):
+            label = list(range(rows + columns))
+            for _ in label:
+                for a, b in edges:
+                    label[a] = label[b] = min(label[a], label[b])
+            return label
+
+        made = [(i, rows + j if j >= 0 else -1 - j) for i, j in J.forest(links)]
+        assert parts(made) == parts([(i, rows + j) for i, j in zip(*np.nonzero(links), strict=True)])
+        assert len(made) <= rows + columns
+
+
 def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, None), (5, None)], "doc_id long, text string")
     rows = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()), key=str)
