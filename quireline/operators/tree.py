@@ -71,7 +71,7 @@ def in_blocks(df: DataFrame, doc: str, pos: str, chosen: Column, *, end: str = "
 def delete_blocks(df: DataFrame, doc: str, pos: str, chosen: Column, *, end: str = "block_end") -> DataFrame:
     """Without the chosen rows and all below them; positions are closed up."""
     left = in_blocks(df, doc, pos, chosen, end=end, out="__b").filter(~F.col("__b")).drop("__b")
-    return left.withColumn(pos, F.row_number().over(ordered(doc, pos)) - 1)
+    return left.withColumn(pos, F.row_number().over(ordered(doc, pos)).cast("long") - 1)
 
 
 def delete_rows(df: DataFrame, doc: str, pos: str, level: str, chosen: Column, *, depth: int = DEPTH) -> DataFrame:
@@ -79,7 +79,7 @@ def delete_rows(df: DataFrame, doc: str, pos: str, level: str, chosen: Column, *
     picked = df.withColumn("__x", chosen)
     over = ancestors(picked, doc, pos, level, out="__a", depth=depth).withColumn("__all", F.collect_list(F.when(F.col("__x"), F.col(pos))).over(Window.partitionBy(doc)))
     lifted = over.withColumn(level, F.col(level) - F.size(F.array_intersect("__a", "__all"))).filter(~F.col("__x")).drop("__x", "__a", "__all")
-    return lifted.withColumn(pos, F.row_number().over(ordered(doc, pos)) - 1)
+    return lifted.withColumn(pos, F.row_number().over(ordered(doc, pos)).cast("long") - 1)
 
 
 def shift_pages(df: DataFrame, doc: str, pos: str, chosen: Column, delta: int, *, manual: str = "manual_page", shift: str = "section_shift", printed: str = "printed_page", end: str = "block_end") -> DataFrame:

@@ -10,6 +10,9 @@ import pytest
 from quireline import catalogue
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+
+
 def table_views(folder):
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
@@ -28,10 +31,12 @@ def plain(value):
 
 
 def same(df, con, sql):
-    got = df.toPandas() if False else [r.asDict() for r in df.collect()]
+    got = [r.asDict() for r in df.collect()]
     rel = con.sql(sql)
     names = sorted(df.columns)
     assert names == sorted(rel.columns)
+    theirs = dict(zip(rel.columns, map(str, rel.types), strict=True))
+    assert {n: KINDS.get(k, k) for n, k in df.dtypes} == theirs
     want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
     key = lambda r: [str(plain(r[n])) for n in names]
     assert sorted(map(key, got)) == sorted(map(key, want))
