@@ -31,6 +31,7 @@ from tokenizers import Tokenizer
 
 #: Pieces that are remembered, and the bytes from which a piece is not.
 REMEMBERED, LONG = 300_000, 200
+_NEVER = 1 << 30
 
 
 def byte_symbols() -> list[str]:
@@ -67,6 +68,8 @@ class Model:
             reach[c] = max(reach.get(c, 1), span)
         self.lookahead = max(reach.values(), default=1)
         self.content = {i: t.encode("utf-8") for t, i in [*vocab.items(), *self.added.items()]}
+        # all added tokens of the known files begin with "<"; others are looked for in every piece
+        self.mark = "<" if all(a.startswith("<") for a in self.added) else ""
         self.split_added = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.library, self.byte = Tokenizer.from_file(path), {s: b for b, s in enumerate(symbols)}
@@ -83,12 +86,19 @@ class Model:
         """All merges, the lowest rank first and the leftmost of equals."""
         if len(ids) > 40:
             return self._merged_long(ids)
-        rank, ids = self.rank, list(ids)
-        while len(ids) > 1:
-            best, at = min(((rank.get(pair, 1 << 30), i) for i, pair in enumerate(zip(ids, ids[1:], strict=False))), default=(1 << 30, 0))
-            if best == 1 << 30:
+        rank, ids = self.rank.get, list(ids)
+        ranks = [rank((a, b), _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
                 break
+            at = ranks.index(best)
             ids[at : at + 2] = [self.product[best]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), _NEVER)
+            if at < len(ranks):
+                ranks[at] = rank((ids[at], ids[at + 1]), _NEVER)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -146,36 +156,44 @@ class Encoder:
     """Text in pieces of any size in, ids out; holds one unfinished piece."""
 
     def __init__(self, path: str):
-        self.held, self.known, self.rest = model(path), {}, b""
+        self.held, self.known, self.words, self.rest = model(path), {}, {}, b""
+
+    def _word(self, token: bytes) -> bytes:
+        ids = self.words.get(token)
+        if ids is None:
+            stream = Transducer(self.held)
+            ids = np.array([*stream.feed(token), *stream.finish()], "<u4").tobytes()
+            if len(token) < LONG:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[token] = ids
+        return ids
 
-    def _ids(self, piece: str) -> Iterator[int]:
+    def _ids(self, piece: str) -> Iterator[bytes]:
         held = self.held
-        for part in held.split_added.split(piece) if held.split_added else [piece]:
+        for part in held.split_added.split(piece) if held.split_added and held.mark in piece else [piece]:
             if part in held.added:
-                yield held.added[part]
-                continue
-            for token in held.pre_tokens(part):
-                stream = Transducer(held)
-                yield from stream.feed(token)
-                yield from stream.finish()
+                yield np.array([held.added[part]], "<u4").tobytes()
+            else:
+                yield from map(self._word, held.pre_tokens(part))
 
     def pieces(self, data: bytes) -> bytes:
         """Ids, as little-endian unsigned 32-bit integers, of text that starts and ends at white space or at its ends."""
         known, parts = self.known, data.split()
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            out = []
-            for p in parts:
-                ids = known.get(p)
+        found = list(map(known.get, parts))
+        if None in found:
+            for i, ids in enumerate(found):
                 if ids is None:
-                    ids = np.fromiter(self._ids(p.decode("utf-8")), "<u4").tobytes()
-                    if len(p) < LONG:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[p] = ids
-                out.append(ids)
-            return b"".join(out)
+                    p = parts[i]
+                    ids = known.get(p)  # it may repeat in this text
+                    if ids is None:
+                        ids = b"".join(self._ids(p.decode("utf-8")))
+                        if len(p) < LONG:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[p] = ids
+                    found[i] = ids
+        return b"".join(found)
 
     def feed(self, data: bytes) -> bytes:
         """Ids of all pieces that are finished."""
@@ -215,6 +233,12 @@ class Decoder:
         return self.text.decode(b"", True)
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for a worker process, so that what it remembers serves its next tasks too."""
+    return Encoder(path)
+
+
 #: Bytes of text and ids that go through at a time.
 FEED_BYTES, FEED_IDS = 1 << 18, 1 << 16
 
@@ -239,13 +263,18 @@ class _Encode:
     names = ("n_tokens", "ids")
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path)
+        self.encoder = encoder(path)
 
     def __call__(self, column: pa.Array) -> list[pa.Array]:
         ids = [encode_text(self.encoder, x or b"") for x in column.cast(pa.binary()).to_pylist()]
         return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
 
 
+def decode_text(decoder: Decoder, data: bytes) -> str:
+    ids = np.frombuffer(data, "<u4")
+    return "".join([*(decoder.feed(ids[i : i + FEED_IDS]) for i in range(0, len(ids), FEED_IDS)), decoder.finish()])
+
+
 class _Decode:
     names = ("decoded",)
 
@@ -253,11 +282,23 @@ class _Decode:
         self.decoder = Decoder(path)
 
     def __call__(self, column: pa.Array) -> list[pa.Array]:
-        out = []
+        return [pa.array([decode_text(self.decoder, x or b"") for x in column.cast(pa.binary()).to_pylist()], pa.string())]
+
+
+class _Digests:
+    """Both ways in one pass, for when only digests are wanted."""
+
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+    def __init__(self, path: str):
+        self.encoder, self.decoder = encoder(path), Decoder(path)
+
+    def __call__(self, column: pa.Array) -> list[pa.Array]:
+        rows = []
         for x in column.cast(pa.binary()).to_pylist():
-            ids = np.frombuffer(x or b"", "<u4")
-            out.append("".join([*(self.decoder.feed(ids[i : i + FEED_IDS]) for i in range(0, len(ids), FEED_IDS)), self.decoder.finish()]))
-        return [pa.array(out, pa.string())]
+            ids = encode_text(self.encoder, x or b"")
+            rows.append((len(ids) // 4, sha256(ids), sha256(decode_text(self.decoder, ids).encode("utf-8"))))
+        return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))]
 
 
 def encode_column(rows: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -277,9 +318,9 @@ def decode_column(rows: DataFrame, path: str, *, ids: str = "ids", keep: tuple[s
 
 def digests(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``n_tokens`` and SHA-256 digests of the ids and of the decoded text."""
-    encoded = encode_column(docs, path, text=text, keep=keep)
-    hashed = encoded.select(*keep, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode_column(hashed, path).select(*keep, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    held = docs.select(*keep, F.col(text).cast("binary").alias("__in"))
+    schema = held.select(*keep, F.lit(0).cast("long").alias("n_tokens"), *(F.lit(None).cast("string").alias(c) for c in _Digests.names[1:])).schema
+    return held.mapInArrow(_row_wise(path, _Digests), schema)
 
 
 def sha256(data: bytes) -> str:
