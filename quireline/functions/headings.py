@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quireline.functions.numerals import CHINESE, chinese_number, english_number, half_width, roman_value
@@ -313,8 +314,6 @@ HEADING_TYPE = "struct<kind:string,numbers:array<int>,keyword:string,ocr:boolean
 
 
 def classify_column(title):
-    import pandas as pd
-
     @F.pandas_udf(HEADING_TYPE)
     def run(titles: pd.Series) -> pd.DataFrame:
         rows = [asdict(classify(x or "")) for x in titles]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass, replace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quireline.functions.numerals import half_width, roman_value
@@ -248,8 +249,6 @@ SPLIT_TYPE = "struct<title:string,page:struct<style:string,value:int,raw:string,
 
 def split_column(line):
     """``split_page`` over a column, a batch of rows at a time."""
-    import pandas as pd
-
     @F.pandas_udf(SPLIT_TYPE)
     def run(lines: pd.Series) -> pd.DataFrame:
         rows = [asdict(split_page(x or "")) for x in lines]

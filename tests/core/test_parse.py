@@ -133,3 +133,10 @@ def test_table_of_documents(spark):
     lines = [(d, i, t) for d in (1, 2) for i, t in enumerate(["Chapter 1 One ...... 1", "1.1 First ...... 2", None, "Chapter 2 Two ...... 9"])]
     got = P.printed_toc(spark.createDataFrame(lines, "doc_id long, line_no int, text string")).collect()
     assert sorted((r.doc_id, r.pos, r.level, r.printed_page) for r in got) == [(d, *x) for d in (1, 2) for x in ((0, 0, 1), (1, 1, 2), (2, 0, 9))]
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([("1.1 Scope ...... 12",), (None,)], "line string")
+    a, b = df.select(T.split_column("line").alias("s"), H.classify_column("line").alias("h")).collect()
+    assert (a.s.title, a.s.page.value, a.h.kind, a.h.numbers) == ("1.1 Scope", 12, "dotted", [1, 1])
+    assert (b.s.title, b.s.page, b.h.kind) == ("", None, "none")
