@@ -35,7 +35,10 @@ from quireline.llm.storage import filesystem, new_folder, publish
 
 MAGIC, FOOTER = b"QPLANES1", struct.Struct("<QQQIB3x8s")
 BLOCK_IDS = 1 << 16
-REMEMBERED, LONG = 300_000, 200
+#: Pieces that are remembered, the bytes from which a piece is not, and the bytes of texts that are encoded together.
+REMEMBERED, LONG, TOGETHER = 1_000_000, 200, 1 << 20
+#: A run of these behind letters, up to the end of a piece, is one token text of its own.
+STOPS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def planes_of(ids: np.ndarray, kind: str) -> list[np.ndarray]:
@@ -146,7 +149,12 @@ class Reader:
 
 
 class LibraryEncoder:
-    """The tokenizers library on each piece between ASCII white space, which this vocabulary's tokens never cross; pieces are remembered."""
+    """The tokenizers library on what lies between ASCII white space, which this vocabulary's tokens never cross; pieces are remembered.
+
+    A piece that is not known is taken as a word, its ASCII letters in lower case, and the punctuation behind it, which is a pre-token of its own. A
+    word of a to z is a pre-token as it stands and goes straight to the library's merges. Other words of letters go to the library many at
+    once, with blanks between: each is one pre-token, so its last token is the only one that ends a word. Anything else goes by itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,23 +163,70 @@ class LibraryEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def encode(self, data: bytes) -> bytes:
-        parts, known = data.split(), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            new = list(dict.fromkeys(p for p in parts if p not in known))
-        if len(known) + len(new) > REMEMBERED:
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.merges = self.tokenizer.model.tokenize
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, merges, others = self.known, self.merges, []
+        for w in words:
+            if w.isalpha():
+                ids = [t.id for t in merges(w.decode())]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(w)
+        words, texts = others, [w.decode("utf-8") for w in others]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for low in range(0, len(plain), 500):
+            own = plain[low : low + 500]
+            (ids,) = self._library([" ".join([texts[i] for i in own])])
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(own):  # some word's lower case is not letters only
+                rest += own
+                continue
+            data, start = ids.tobytes(), 0
+            for i, end in zip(own, cuts.tolist(), strict=True):
+                self.known[words[i]] = data[start:end]
+                start = end
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
+            self.known[words[i]] = ids.tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        known = self.known
+        if len(known) > REMEMBERED:
             known.clear()
-            new = list(dict.fromkeys(parts))
-        for p, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8") for p in new], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([known[p] for p in parts])
+        split = [t.split() for t in texts]
+        out = [list(map(known.get, parts)) for parts in split]
+        open_texts = [i for i, ids in enumerate(out) if None in ids]
+        new = {p for i in open_texts for p, ids in zip(split[i], out[i], strict=True) if ids is None}
+        made, words = [], set()
         for p in new:
+            low = p.lower()
+            word = low.rstrip(STOPS)
+            if word == p and word.isalpha():
+                words.add(p)
+            elif word.isalpha() or word.decode("utf-8").lower().isalpha():  # lower case may end in a mark, which stops would join
+                made.append((p, word, low[len(word) :]))
+                words.add(word)
+                words.add(low[len(word) :])
+            else:
+                words.add(p)
+        words.discard(b"")
+        self._learn([w for w in words if w not in known])
+        for p, word, stops in made:
+            known[p] = known[word] + known[stops] if stops else known[word]
+        for i in open_texts:
+            out[i] = [known[p] if ids is None else ids for p, ids in zip(split[i], out[i], strict=True)]
+        for p in new | words:
             if len(p) >= LONG:
-                del known[p]
-        return out
+                known.pop(p, None)
+        return [b"".join(ids) for ids in out]
 
 
 @cache
@@ -196,8 +251,14 @@ def write_shards(docs: DataFrame, path: str, *, end_id: int, doc_id: str = "doc_
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(temp)
                 writer = Writer(out, kind)
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").cast(pa.binary()).to_pylist(), strict=True):
-                writer.add(doc, encoder.encode(data) + end)
+            docs_of, texts, low = batch.column("doc_id").to_pylist(), batch.column("data").cast(pa.binary()).to_pylist(), 0
+            while low < len(texts):
+                high, size = low, 0
+                while high < len(texts) and (high == low or size + len(texts[high]) <= TOGETHER):
+                    size, high = size + len(texts[high]), high + 1
+                for doc, ids in zip(docs_of[low:high], encoder.encode(texts[low:high]), strict=True):
+                    writer.add(doc, ids + end)
+                low = high
         if writer is not None:
             writer.close()
             out.close()

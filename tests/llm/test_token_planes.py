@@ -48,9 +48,11 @@ def test_file_round_trip_and_random_access(kind):
 def test_library_pieces_equal_whole_texts():
     encoder, rng = T.LibraryEncoder(queries.vocabulary_path()), random.Random(2)
     pools = ["abcdefghij'st ", " \n\t\x0b\x1c\x85\xa0éÉßİΣσςñ漢字", "0123½", "!?.<|endoftext|>", "̧́", "\U0001f600﻿\x00 "]
+    for text in ["Word. word, WORD word!? İx Ünd. a. ' 's it's. x..,", "a'' b's' c<|endoftext|> d<|endoftext|>*** é<= a\u0338 <\u0338 x<\u0338 don't' ***a*** É.***", "." * 300 + " " + "a" * 300 + "."]:
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
     for _ in range(500):
         text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(60)))
-        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_shards_with_nulls_repeats_and_long_texts(spark):
