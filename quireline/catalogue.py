@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quireline.plans import joins, lines, ordered, outline
+from quireline.plans import documents, joins, lines, ordered, outline
 
-_PLANS = (outline, lines, ordered, joins)
+_PLANS = (outline, lines, ordered, joins, documents)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
