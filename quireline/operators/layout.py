@@ -93,32 +93,33 @@ def mode_smallest(df: DataFrame, group: list[str], value: str) -> DataFrame:
 def group_lines(df: DataFrame, page: list[str], key: str) -> DataFrame:
     """``line`` number of each box: boxes in the order of their middles join the line that they overlap most, vertically by half at least, unless
     they would cover a member horizontally by more than 0.3; else they begin a line."""
-    held = df.select(*page, key, "min_x", "min_y", "max_x", "max_y")
-    schema = held.withColumn("line", F.lit(0).cast("int")).schema
+    from quireline.operators.grouped import per_group
 
-    def run(own):
-        def ratio(a0, a1, b0, b1):
-            small = min(a1 - a0, b1 - b0)
-            return max(0.0, min(a1, b1) - max(a0, b0)) / small if small > 0 else 0.0
+    middle = (F.col("min_y") + F.col("max_y")) / 2
+    held = df.select(*page, key, *(F.col(c).cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")), middle.alias("__mid"))
+    schema = held.drop("__mid").withColumn("line", F.lit(0).cast("int")).schema
 
-        own = own.assign(mid=(own.min_y + own.max_y) / 2).sort_values(["mid", "min_x", key], kind="stable").drop(columns="mid").reset_index(drop=True)
-        open_lines, numbers = [], []
-        for r in own.itertuples(index=False):
+    def ratio(a0, a1, b0, b1):
+        small = min(a1 - a0, b1 - b0)
+        return max(0.0, min(a1, b1) - max(a0, b0)) / small if small > 0 else 0.0
+
+    def run(own: list[tuple]) -> list[tuple]:
+        open_lines, out = [], []
+        for *head, x0, y0, x1, y1, _ in own:
             best, at = 0.5, None
-            for i, line in enumerate(open_lines):
-                share = ratio(r.min_y, r.max_y, line["top"], line["bottom"])
-                if share >= best and all(ratio(r.min_x, r.max_x, a, b) <= 0.3 for a, b in line["spans"]) and (at is None or share > best):
+            for i, (top, bottom, spans) in enumerate(open_lines):
+                share = ratio(y0, y1, top, bottom)
+                if share >= best and (at is None or share > best) and all(ratio(x0, x1, a, b) <= 0.3 for a, b in spans):
                     best, at = share, i
             if at is None:
                 at = len(open_lines)
-                open_lines.append({"top": r.min_y, "bottom": r.max_y, "spans": []})
-            line = open_lines[at]
-            line["spans"].append((r.min_x, r.max_x))
-            line["top"], line["bottom"] = min(line["top"], r.min_y), max(line["bottom"], r.max_y)
-            numbers.append(at)
-        return own.assign(line=numbers).astype({"line": "int32"})
-
-    return held.groupBy(*page).applyInPandas(run, schema)
+                open_lines.append((y0, y1, []))
+            top, bottom, spans = open_lines[at]
+            open_lines[at] = (min(top, y0), max(bottom, y1), [*spans, (x0, x1)])
+            out.append((*head, x0, y0, x1, y1, at))
+        return out
+
+    return per_group(held, page, ["__mid", "min_x", key], run, schema)
 
 
 def column_gutter(df: DataFrame, page: list[str], *, bins: int = 200) -> DataFrame:

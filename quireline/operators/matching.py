@@ -43,8 +43,9 @@ def fuzzy_join(titles: DataFrame, lines: DataFrame, key: list[str], title: str,
 
 def with_pairs(lines: DataFrame, doc: str, page: str, order: str, line: str) -> DataFrame:
     """The lines of each page, and each two neighbouring lines as one: titles may wrap."""
-    following = F.lead(line).over(ordered([doc, page], order))
-    return lines.select("*", F.explode(F.filter(F.array(F.col(line), F.concat(F.col(line), following)), lambda t: t.isNotNull())).alias("candidate"))
+    held = lines.withColumn("__next", F.lead(line).over(ordered([doc, page], order)))
+    both = F.filter(F.array(F.col(line), F.concat(F.col(line), F.col("__next"))), lambda t: t.isNotNull())
+    return held.withColumn("candidate", F.explode(both)).drop("__next")
 
 
 def chapter_windows(chapters: DataFrame, lines: DataFrame, doc: str, *, expected: str, title: str, page: str, line: str, reach: int = 3) -> DataFrame:

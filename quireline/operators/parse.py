@@ -590,22 +590,20 @@ SCHEMA = "pos int, title string, level int, kind string, page_style string, prin
 
 def printed_toc(lines: DataFrame, doc: str = "doc_id", *, line_no: str = "line_no", text: str = "text", indent: str | None = None, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Entries of every document: SCHEMA behind the document's key; ``lines`` and ``notes`` are JSON arrays. Null texts are blank lines."""
-    kind = lines.schema[doc].dataType.simpleString()
+    from quireline.operators.grouped import per_group
 
-    def run(own):
-        import pandas as pd
+    kind = lines.schema[doc].dataType.simpleString()
 
-        own = own.sort_values(line_no, kind="stable")
-        indents = [None if x is None or x != x else float(x) for x in own[indent]] if indent else [None] * len(own)
-        rows, _ = parse_lines(list(zip(own[line_no].tolist(), own[text].fillna("").tolist(), indents, strict=True)), options)
-        key = own[doc].iloc[0]
-        out = [
+    def run(own: list[tuple]) -> list[tuple]:
+        rows, _ = parse_lines([(n, t or "", None if not x or x[0] is None else float(x[0])) for _, n, t, *x in own], options)
+        key = own[0][0]
+        return [
             (key, i, r.title, r.level, r.heading.kind, r.page and r.page.style, r.page and r.page.value, r.page and r.page.raw, r.physical, r.inherited, r.conf, json.dumps(r.lines), json.dumps(r.notes, ensure_ascii=False))
             for i, r in enumerate(rows)
         ]
-        return pd.DataFrame(out, columns=[doc, *(f.split()[0] for f in SCHEMA.split(", "))], dtype=object)
 
-    return lines.select(doc, line_no, text, *([indent] if indent else [])).groupBy(doc).applyInPandas(run, f"{doc} {kind}, {SCHEMA}")
+    held = lines.select(doc, line_no, text, *([indent] if indent else []))
+    return per_group(held, [doc], [line_no], run, f"{doc} {kind}, {SCHEMA}")
 
 
 def review_text(entries: list[Row], *, least: float = 0.75) -> str:

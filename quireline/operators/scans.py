@@ -139,28 +139,24 @@ def rank_levels(df: DataFrame, doc: str, order: str, rank: str, *, out: str = "l
 
 def longest_nondecreasing(df: DataFrame, doc: str, order: str, value: str) -> DataFrame:
     """Per row, whether it is kept by the longest non-decreasing subsequence of its document (one that binary search over tails finds: equal
-    values extend, and ties go to the latest tail). Null values are not kept. The rows of a document are folded in one Python call."""
-    schema = df.select(doc, order, value).withColumn("kept", F.lit(True)).schema
+    values extend, and ties go to the latest tail). Null values are not kept. The rows of each document are streamed in order."""
+    from bisect import bisect_right
 
-    def run(own):
-        from bisect import bisect_right
+    from quireline.operators.grouped import per_group
 
-        own = own.sort_values(order, kind="stable").reset_index(drop=True)
-        tails, ends, before, kept = [], [], {}, [False] * len(own)
-        for i, v in enumerate(own[value]):
+    def run(rows: list[tuple]) -> list[tuple]:
+        tails, ends, before, kept = [], [], {}, set()
+        for i, (_, _, v) in enumerate(rows):
             if v is None or v != v:
                 continue
             at = bisect_right(tails, v)
             before[i] = ends[at - 1] if at else None
-            if at == len(tails):
-                tails.append(v)
-                ends.append(i)
-            else:
-                tails[at], ends[at] = v, i
+            tails[at : at + 1], ends[at : at + 1] = [v], [i]
         at = ends[-1] if ends else None
         while at is not None:
-            kept[at] = True
+            kept.add(at)
             at = before[at]
-        return own.assign(kept=kept)
+        return [(*row, i in kept) for i, row in enumerate(rows)]
 
-    return df.select(doc, order, value).groupBy(doc).applyInPandas(run, schema)
+    held = df.select(doc, order, value)
+    return per_group(held, [doc], [order], run, held.withColumn("kept", F.lit(True)).schema)

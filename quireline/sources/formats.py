@@ -345,12 +345,12 @@ def file_sink(rows: DataFrame, doc: str, pos: str, kind: str, *, title: str = "t
     """One file text of any format for each document."""
     document = rows.schema[doc].dataType.simpleString()
 
-    def run(own):
-        own = own.sort_values(pos, kind="stable")
-        items = [Item(t or "", int(k), None if p is None or p != p else int(p)) for t, k, p in zip(own[title], own[level], own[page], strict=True)]
-        return pd.DataFrame({doc: [own[doc].iloc[0]], "text": [write(settled(items)[0], kind)]})
+    from quireline.operators.grouped import per_group
 
-    return rows.select(doc, pos, title, level, page).groupBy(doc).applyInPandas(run, f"{doc} {document}, text string")
+    def run(own: list[tuple]) -> list[tuple]:
+        return [(own[0][0], write(settled([Item(t or "", int(k), None if p is None else int(p)) for _, _, t, k, p in own])[0], kind))]
+
+    return per_group(rows.select(doc, pos, title, level, page), [doc], [pos], run, f"{doc} {document}, text string")
 
 
 def space_levels(lines: DataFrame, doc: str, order: str, line: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def file_stream(spark: SparkSession, folder: str, *, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:
     """New files of a folder: path, modificationTime, length, content."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = True):
