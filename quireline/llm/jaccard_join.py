@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from quireline.llm.components import components
 from quireline.llm.hashing import ngrams, nonspace_mask, word_rounds
-from quireline.llm.storage import written
+from quireline.llm.storage import small_batches, written
 
 #: Shared prefix tokens that a pair of groups needs; pairs of bin minima by which classes are grouped.
 SHARED, BANDS = 4, 6
 #: One text in so many is counted for the order of tokens; tokens in so many of them are common; at most so many common ones are listed.
 COUNTED, COMMON, LISTED = 16, 4, 1 << 18
 #: Members of a block, columns of an incidence matrix, and most bits of the map of wanted texts.
-BLOCK, COLUMNS, MAP_BITS = 2048, 2048, 1 << 28
+BLOCK, COLUMNS, MAP_BITS = 1024, 2048, 1 << 28
 #: Parts into which the rows of one key are dealt.
 SALTS = 8
 
@@ -112,13 +112,20 @@ def _common_tokens(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], (len(tokens) - 1 - np.arange(len(tokens)))[order]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that the sets of few texts are held at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 _SKETCH = "tk long, n long, node binary, keys array<long>, prefix binary"
 
 
 def _sketch(k: int, threshold: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, rank = common.value
-        for batch in batches:
+        for batch in _slices(batches):
             n, node, keys, prefix = [], [], [], []
             for _, tokens in token_sets(batch.column("text"), k):
                 n.append(len(tokens))
@@ -183,7 +190,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             place = batch.column("tk").to_numpy() % (len(held) * 32)
             hit = (held[place >> 5] >> (place & 31).astype(np.uint32)) & 1
             some = batch.column("text").filter(pa.array(hit.astype(bool)))
@@ -326,6 +333,7 @@ def _links(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, thres
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, threshold: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that it reaches by links), class_id (hex digest of its set)."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tk", F.xxhash64("text", "doc_id"))
     common = spark.sparkContext.broadcast(_common_tokens(texts, k))
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -35,6 +35,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Rows that travel to Python at once, where the session has not chosen a number: texts may be long, and both sides hold a batch.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per Arrow batch, unless something else than Spark's default is set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def filesystem(uri: str):
     """(filesystem, path) for a URI; any store that pyarrow knows, and plain paths."""
     from pyarrow import fs
