@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireline.llm.storage import filesystem, new_folder, publish, written
+from quireline.llm.storage import filesystem, new_folder, publish, small_batches, written
 
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -176,6 +176,7 @@ def _page_date(number) -> str:
 
 def write_arcs(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1, folder: str | None = None) -> DataFrame:
     """Archives with a record for each page. Per archive: path, n_records."""
+    small_batches(pages.sparkSession)
     folder = folder or new_folder(pages.sparkSession, "arc")
     held = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(url, F.lit("-")).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"))
 
@@ -279,7 +280,9 @@ def convert_arcs(chosen: DataFrame, *, folder: str | None = None) -> DataFrame:
         publish(files, temp, f"{root}/{name}")
         return pd.DataFrame({"path": [f"{folder}/{name}"], "n_records": [n]})
 
-    return written(held.groupBy("path").applyInPandas(run, "path string, n_records long"), "warc-list")
+    # a given number of tasks: the rows are few, the archives behind them are not
+    dealt = held.repartition(max(1, int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+    return written(dealt.groupBy("path").applyInPandas(run, "path string, n_records long"), "warc-list")
 
 
 def read_warcs(archives: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quireline.llm.storage import small_batches
+
 #: Pieces that are remembered, and the bytes from which a piece is not.
 REMEMBERED, LONG = 300_000, 200
 _NEVER = 1 << 30
@@ -303,6 +305,7 @@ class _Digests:
 
 def encode_column(rows: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit integers)."""
+    small_batches(rows.sparkSession)
     held = rows.select(*keep, F.col(text).cast("binary").alias("__in"))
     schema = held.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("ids")).schema
     return held.mapInArrow(_row_wise(path, _Encode), schema)
@@ -311,6 +314,7 @@ def encode_column(rows: DataFrame, path: str, *, text: str = "text", keep: tuple
 def decode_column(rows: DataFrame, path: str, *, ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all but ``ids``) and ``decoded``."""
     keep = tuple(c for c in rows.columns if c != ids) if keep is None else keep
+    small_batches(rows.sparkSession)
     held = rows.select(*keep, F.col(ids).alias("__in"))
     schema = held.select(*keep, F.lit(None).cast("string").alias("decoded")).schema
     return held.mapInArrow(_row_wise(path, _Decode), schema)
@@ -318,6 +322,7 @@ def decode_column(rows: DataFrame, path: str, *, ids: str = "ids", keep: tuple[s
 
 def digests(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``n_tokens`` and SHA-256 digests of the ids and of the decoded text."""
+    small_batches(docs.sparkSession)
     held = docs.select(*keep, F.col(text).cast("binary").alias("__in"))
     schema = held.select(*keep, F.lit(0).cast("long").alias("n_tokens"), *(F.lit(None).cast("string").alias(c) for c in _Digests.names[1:])).schema
     return held.mapInArrow(_row_wise(path, _Digests), schema)

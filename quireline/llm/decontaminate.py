@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireline.llm.hashing import alphanumeric_mask, ngrams, word_rounds
+from quireline.llm.storage import small_batches
 
 #: Words of a window, and of the k-grams whose hashes are winnowed.
 WINDOW, GRAM = 10, 5
@@ -130,6 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     """``doc_id``, the columns ``keep``, ``text``, ``n_words``, ``hits`` (bitmap of the words inside a benchmark window, null: none) and
     ``items`` (ids of the items with such windows, sorted as strings, null: none)."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text"))
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))

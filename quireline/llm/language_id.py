@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.storage import small_batches
+
 UNKNOWN = "und"
 #: Dimensions of the vectors, letters of an n-gram, classes of letters (class 0: anything else).
 DIMENSIONS, GRAM, CLASSES = 1024, 3, 128
@@ -87,7 +89,7 @@ def bundles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarr
             place = np.zeros(present[-1] + 1, np.int32)
             place[present] = np.arange(len(present))
             spot = place[codes]
-            step = max(1, (8 << 20) // len(present))
+            step = max(1, (2 << 20) // len(present))
             for a in range(0, len(own), step):
                 b = min(len(own), a + step)
                 inside = (of >= a) & (of < b)
@@ -135,6 +137,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Profiles:
     """Prototypes from ``rows``. What reaches the driver: a vector for each language and task, of at most per_language texts a language."""
+    small_batches(rows.sparkSession)
     held = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     place, chosen = F.xxhash64("text") / F.lit(2.0**63), F.lit(False)
     for r in held.groupBy("lang").count().collect():
@@ -150,8 +153,10 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", per_langua
 
 def predict(rows: DataFrame, profiles: Profiles, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``lang_pred`` and ``score`` (the best cosine, 0 if negative)."""
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(profiles)
-    held = rows.select(*keep, F.col(text).cast("string").alias("__text"))
+    source = text if text in keep else "__text"  # a kept text travels once
+    held = rows.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias(source)]))
     schema = rows.select(*keep, F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +164,13 @@ def predict(rows: DataFrame, profiles: Profiles, *, text: str = "text", keep: tu
         for batch in batches:
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if model.names:
-                for low, vectors, letter in bundles(batch.column("__text").to_pylist()):
+                for low, vectors, letter in bundles(batch.column(source).to_pylist()):
                     cosines = model.scores(vectors)
                     best = cosines.argmax(1)
                     for i in np.flatnonzero(letter):
                         names[low + i] = model.names[best[i]]
                         scores[low + i] = max(0.0, float(cosines[i, best[i]]))
-            kept = [n for n in batch.schema.names if n != "__text"]
+            kept = [n for n in batch.schema.names if n in keep]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return held.mapInArrow(run, schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.storage import small_batches
+
 WIDTH = 64
 #: Bytes of compressed image data in one chunk, and rows that are filtered at once.
 CHUNK_BYTES, BLOCK_ROWS = 1 << 16, 1 << 14
@@ -157,6 +159,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_column(rows: DataFrame, payload: str, *, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, ``n_bytes`` of the unpadded payload, and its image ``media``. ``payload``: a string (as UTF-8) or binary column."""
+    small_batches(rows.sparkSession)
     held = rows.select(*keep, F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n_bytes"), F.col(payload).cast("binary").alias("payload"))
     schema = held.drop("payload").withColumn("media", F.lit(None).cast("binary")).schema
     return held.mapInArrow(_encode, schema)
@@ -183,6 +186,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decode_column(rows: DataFrame) -> DataFrame:
     """What the images of the column ``media`` hold, beside the other columns."""
+    small_batches(rows.sparkSession)
     held = rows.drop("media")
     kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "problem": "string"}
     schema = held.select("*", *(F.lit(None).cast(k).alias(n) for n, k in kinds.items())).schema

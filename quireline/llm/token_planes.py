@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm.storage import filesystem, new_folder, publish
+from quireline.llm.storage import filesystem, new_folder, publish, small_batches
 
 MAGIC, FOOTER = b"QPLANES1", struct.Struct("<QQQIB3x8s")
 BLOCK_IDS = 1 << 16
@@ -237,6 +237,7 @@ def library_encoder(path: str) -> LibraryEncoder:
 def write_shards(docs: DataFrame, path: str, *, end_id: int, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, kind: str = "byte") -> DataFrame:
     """Writes the shards now. Returns one row for each: shard, path, n_docs, n_ids, start (ids of all shards before it)."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "token-planes")
     end = np.array([end_id], "<u4").tobytes()
     held = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("data"), F.xxhash64(F.col(text)).alias("h"))
