@@ -113,7 +113,10 @@ def is_index_line(line: str) -> bool:
 def columns_of(line: str) -> list[str]:
     """A line with two entries side by side, as its entries."""
     if len(line) <= 400:
-        for m in re.finditer(r"(?<=\S)\s+(?=\S)", line):
+        # only behind what can end a page
+        for m in re.finditer(r"(?<=[0-9０-９OolI|)）\]】}>」》〕页。，,;；:：'\"])\s+(?=\S)", line):
+            if not re.search("[0-9０-９OolI|]", line[max(0, m.start() - 8) : m.start()]):
+                continue
             left, right = split_page(line[: m.start()]), line[m.end() :]
             if not left.page or left.page.style != "arabic" or len(re.findall(r"[^\W\d_]", left.title)) < 2:
                 continue
