@@ -46,6 +46,19 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(judged)
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+spans AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS span FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS span FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM spans) WHERE len(w) >= size)),
+found AS (SELECT doc_id, size, i, item FROM places JOIN spans USING (size, span)),
+hits AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM (SELECT DISTINCT doc_id, size, i FROM found)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 #: The end id and the vocabulary file that the token queries use.
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
 
@@ -65,7 +78,15 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = arc_convert.scan_arcs(arc_convert.write_arcs(table(spark, sf_dir, "pages")))
     archives = arc_convert.convert_arcs(arc_convert.choose(records, least_bytes=0))
-    return arc_convert.read_warcs(archives)
+    return arc_convert.read_warcs(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last, sha1(html) AS h FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 1 + 5 * i, 5))::INTEGER) AS v FROM k)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> s & 31) + 1, 1)), '')), '') AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g
+"""
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +97,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, threshold=85)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, threshold=85).drop("class_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w) - 1)], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(2, len(w) - 2) END)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM sym UNION SELECT r.a, y.b FROM reach r JOIN sym y ON r.b = y.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY 1) USING (doc_id)
+"""
 
 
 def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,5 +161,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_format": OP1_SQL,
+    "op3_decontaminate": OP3_SQL,
+    "op5_arc_convert": OP5_SQL,
+    "op7_jaccard_join": OP7_SQL,
     "op10_url_rules": OP10_SQL,
 }
