@@ -12,7 +12,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = 0xD6E8FEB86659FD93
 #: Bytes of text that one round of array operations takes; a longer text is one round of its own.
-ROUND_BYTES = 2 << 20
+ROUND_BYTES = (1 << 20) - 64
 
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
