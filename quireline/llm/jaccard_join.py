@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireline.llm.components import components
@@ -43,8 +43,8 @@ SHARED, BANDS = 4, 6
 COUNTED, COMMON, LISTED = 16, 4, 1 << 18
 #: Members of a block, columns of an incidence matrix, and most bits of the map of wanted texts.
 BLOCK, COLUMNS, MAP_BITS = 1024, 2048, 1 << 28
-#: Parts into which the rows of one key are dealt.
-SALTS = 8
+#: Parts into which the rows of one key are dealt, and classes of a key from which those of its group are.
+SALTS, HOT = 8, 1000
 
 
 def _least(n, threshold: int):
@@ -138,13 +138,23 @@ def _sketch(k: int, threshold: int, common):
     return run
 
 
+def _salt(keyed: str = "keyed", node: str = "node") -> Column:
+    """The part of a row of a group whose key has many classes; 0 elsewhere."""
+    return F.when(F.col(keyed) > HOT, F.pmod(F.hash(node), F.lit(SALTS))).otherwise(0)
+
+
+def _salts(keyed: str = "keyed") -> Column:
+    """All parts that ``_salt`` may give: the other side of a join is there once for each."""
+    return F.explode(F.when(F.col(keyed) > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+
+
 def _grouped(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with g, the group of the commonest key (of equals the largest), or one of its own."""
+    """``nodes`` with g, the group of the commonest key (of equals the largest) or one of its own, and keyed, how many classes have that key."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     found = keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(shared, ["key", "salt"])
     best = found.groupBy("node").agg(F.max(F.struct("size", "key")).alias("best"))
-    return nodes.join(best, "node", "left").select("node", "lowest", "tk", "rk", "n", F.coalesce("best.key", F.xxhash64("node")).alias("g"))
+    return nodes.join(best, "node", "left").select("node", "lowest", "tk", "rk", "n", F.coalesce("best.key", F.xxhash64("node")).alias("g"), F.coalesce("best.size", F.lit(1)).alias("keyed"))
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -305,18 +315,20 @@ def _open(threshold: int):
 
 def _links(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """Links (node, node) that connect the members of groups and of pairs of groups as all their links do. ``members``: node, tk, n, g, size."""
-    bounds = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    a, b = (bounds.select(F.col("g").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "blocks"))) for side in "ab")
+    bounds = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.first("keyed").alias("keyed"))
+    a, b = (bounds.select(F.col("g").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "blocks", "keyed"))) for side in "ab")
     sized = pairs.join(a, "a").join(b, "b")
-    member = members.select("g", "node", "n", "tk")
+    member = members.select("g", "node", "n", "tk", _salt().alias("salt"))
 
     def side(own: str, other: str, number: int) -> DataFrame:
         fits = (100 * F.col("n") >= threshold * F.col(f"low_{other}")) & (threshold * F.col("n") <= 100 * F.col(f"high_{other}"))
-        rows = sized.join(member, sized[own] == member.g).filter(fits)
+        dealt = sized.withColumn("salt", _salts(f"keyed_{own}")).withColumn("g", F.col(own))
+        rows = dealt.join(member, ["g", "salt"]).filter(fits)
         mine = F.pmod(F.hash("node"), F.col(f"blocks_{own}")).alias(f"block_{own}")
         return rows.select("a", "b", mine, F.explode(F.sequence(F.lit(0), F.col(f"blocks_{other}") - 1)).alias(f"block_{other}"), F.lit(number).alias("side"), "node", "tk")
 
-    within = members.filter("size > 1").join(bounds, "g").withColumn("mine", F.pmod(F.hash("node"), F.col("blocks")))
+    salted = bounds.drop("low", "high").withColumn("salt", _salts()).drop("keyed")
+    within = members.filter("size > 1").withColumn("salt", _salt()).join(salted, ["g", "salt"]).withColumn("mine", F.pmod(F.hash("node"), F.col("blocks")))
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     # of two blocks of one group the lower number asks; a block against itself has only one side
     asks = F.transform(F.filter(blocks, lambda i: i >= F.col("mine")), lambda i: F.struct(F.col("mine").alias("block_a"), i.alias("block_b"), F.lit(0).alias("side")))
@@ -345,8 +357,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     grouped = _grouped(nodes)
     least = min((n for n in range(1, 102) if 100 * n >= threshold * (n + 1)), default=1 << 62)  # smaller sets link only with equal ones
     able = grouped.filter(F.col("n") >= least)
-    sizes = able.groupBy("g").agg(F.count("*").alias("size"))
-    members = written(able.join(sizes, "g"), "jaccard-groups")
+    sizes = able.groupBy("g").agg(F.count("*").alias("size"), F.first("keyed").alias("keyed")).withColumn("salt", _salts()).drop("keyed")
+    members = written(able.withColumn("salt", _salt()).join(sizes, ["g", "salt"]).drop("salt"), "jaccard-groups")
     prefixes = sketches.select(rk.alias("rk"), "prefix").join(members.select("rk", "g", F.col("n").cast("int").alias("n"), "size"), "rk")
     pairs = written(_group_pairs(prefixes, threshold), "jaccard-candidates")
     joined = components(_links(members, pairs, texts, k, threshold), "jaccard-joined")

@@ -5,6 +5,8 @@ The folder is ``spark.checkpoint.dir``. Only where that is unset (tests, a lapto
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of a folder that all executors share; no trailing slash."""
     found = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quireline-')}"
+        own = tempfile.mkdtemp(prefix="quireline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set(_CHECKPOINT, found)
     return found.rstrip("/")
 

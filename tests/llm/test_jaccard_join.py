@@ -63,6 +63,7 @@ def test_blocks_of_one_group(spark, monkeypatch):
     monkeypatch.setattr(J, "_band_keys", lambda tokens: [7])
     monkeypatch.setattr(J, "BLOCK", 5)
     monkeypatch.setattr(J, "COLUMNS", 16)
+    monkeypatch.setattr(J, "HOT", 10)
     rng = random.Random(4)
     bases = [" ".join("w" + str(rng.randrange(300)) for _ in range(60)) for _ in range(6)]
     docs = [(i, edited(rng, bases[i % 6], rng.choice([0, 0.01, 0.04]))) for i in range(50)]
