@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -45,4 +46,7 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[l
         if out:
             yield made()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, kind)
+    # a given number of tasks: what Python does with a row costs far more than its bytes tell. Dealt by a hash of the key, because Spark would
+    # take an earlier shuffle by the key itself instead, merged into few partitions by the size of its rows
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(stream, kind)

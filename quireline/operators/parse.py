@@ -140,12 +140,14 @@ def _tokenised(lines: list[tuple[int, str, float | None]], warn) -> tuple[list[R
         lists += is_index_line(text)
         letters += bool(re.fullmatch("[A-Z]", text.strip()))
         if page := lone_page(text):
-            rows, right = rows + right, []
+            rows += right
+            right = []
             rows.append(Row("", page, indent, [number], width_of(text), lone=True))
             continue
         parts = columns_of(text)
         if len(parts) == 1:
-            rows, right = rows + right, []
+            rows += right
+            right = []
         for k, part in enumerate(parts):
             s = split_page(part)
             if not s.title and not s.page:

@@ -87,7 +87,8 @@ def pdf_roundtrip(spark, sf_dir):
     def blank(pages: pd.Series) -> pd.Series:
         return pages.map(lambda n: blank_document(int(n)))
 
-    files = items.select(F.col("conv_id").cast("string").alias("path"), blank("pages").alias("content"), "items", F.lit(0).alias("offset"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = items.repartition(tasks, F.xxhash64("conv_id")).select(F.col("conv_id").cast("string").alias("path"), blank("pages").alias("content"), "items", F.lit(0).alias("offset"))
     made = tables.updated(files).filter("problem IS NULL")
     return tables.outlines(made).select(F.col("path").cast("long").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "title", F.col("level").cast("long").alias("level"), F.col("page_index").cast("long").alias("page_index"))
 
