@@ -4,11 +4,12 @@ Features are the distinct word n-grams (1 to 3) of a paragraph, kept by hash. A
 ``unknown`` is fitted on the driver, on variants of the notices below (words dropped, cut at the ends, put beside other words) and on
 paragraphs that only sound like notices; that is the bounded set of labelled rows, ``VARIANTS`` times the notices. A third of the variants
 is held out: a temperature is fitted on it so that probabilities are calibrated, and the least probability of a family is set so that at
-most one in a hundred of its other paragraphs passes. A prediction counts if enough of the paragraph's word pairs are in a notice of that family.
+most one in a hundred of its other paragraphs passes. A prediction counts if enough of the sentence's word pairs are in notices of that
+family, or enough of one notice's word pairs are in the sentence, and a pair among them that no other family's notices have.
 
 The scan itself is one projection of DataFrame functions, row by row, without a shuffle: weights and notices are constants in it. Texts
-are split into lines, and lines over ``LONG`` characters into sentences; a paragraph without any cue word is not looked at further (each
-notice has one). Whole texts are scanned.
+are split into lines (the paragraphs) and these into sentences, which are judged one by one; a line without any cue word is not looked at
+further (each notice has one). Whole texts are scanned.
 
 Null and empty texts have no paragraphs and no families. Rows are judged one by one, so repeats and empty tables need nothing.
 """
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Characters of a line from which it is split into sentences; hash buckets; variants of each notice.
+#: Characters that the tests' texts keep to (no limit of the scan); hash buckets; variants of each notice.
 LONG, BUCKETS, VARIANTS = 400, 1 << 14, 24
-#: Share of a paragraph's word pairs that must be in the family's notices.
+#: Share of a sentence's word pairs that must be in the family's notices, or of a notice's word pairs that must be in the sentence.
 LEAST_CONTAINED = 0.5
+#: Ends of sentences; none after a colon, which would cut identifiers off.
+SENTENCE_END = r"(?<=[.!?;])[ \t\r\f\x0b]+"
 CUE = r"(?i)licen[cs]|copyright|\(c\)|spdx|warrant|permi(ssion|tted)|redistribut|public domain|creative commons|\bcc[ -](by|0)|all rights reserved|unlicense"
 
 NOTICES = {
@@ -151,6 +154,11 @@ def hashes(own: list[str]) -> list[int]:
     return sorted({zlib.crc32(g.encode()) for n in (1, 2, 3) for g in grams(own, n)})
 
 
+def pieces(texts: list[str]) -> list[str]:
+    """The texts, and their sentences of three words or more, as sentences are what is judged."""
+    return [*dict.fromkeys([*texts, *(s for t in texts for s in re.split(SENTENCE_END, t) if len(words(s)) > 2)])]
+
+
 class Model:
     """Fitted weights; ``families`` ends with the unknown class."""
 
@@ -160,7 +168,7 @@ class Model:
         train, held = [], []
         filler = [w for t in OTHERS for w in words(t)]
         for family, texts in [*sorted(NOTICES.items()), (UNKNOWN, OTHERS)]:
-            for text in texts:
+            for text in pieces(texts):
                 for n in range(VARIANTS):
                     own = words(text)
                     if n:
@@ -180,7 +188,11 @@ class Model:
                 self.prints[h % BUCKETS] = h
         self._fit(train)
         self._calibrate(held)
-        self.pairs = [sorted({zlib.crc32(g.encode()) for t in NOTICES[f] for g in grams(words(t), 2)}) for f in self.families[:-1]]
+        both = lambda t: {zlib.crc32(g.encode()) for g in grams(words(t), 2)}
+        self.notices = [[sorted(both(t)) for t in pieces(NOTICES[f])] for f in self.families[:-1]]
+        #: Pairs that are in the notices of one family only.
+        self.telling = [sorted(set().union(*map(both, NOTICES[f])) - set().union(*(both(t) for g in NOTICES if g != f for t in NOTICES[g]), *map(both, OTHERS))) for f in self.families[:-1]]
+        self.pairs = [sorted(set().union(*map(both, NOTICES[f]))) for f in self.families[:-1]]
 
     def _matrix(self, rows: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         used = [i for i, h in enumerate(self.prints) if h]
@@ -224,16 +236,24 @@ class Model:
         self.least = round(max(0.5, float(np.quantile(wrong, 0.99))), 4)
 
     def judge(self, paragraph: str) -> tuple[str, float, float]:
-        """(family or unknown, its probability, share of word pairs in the family's notices); the projection in plain Python."""
-        own = words(paragraph)
+        """(family or unknown, its probability, contained) of the surest sentence, confirmed ones first; the projection in plain Python."""
+        judged = [self._judge(s) for s in re.split(SENTENCE_END, paragraph) if s.strip(" ")]
+        found = [j for j in judged if j[3] != UNKNOWN]
+        probability, contained, _, family = max(found or judged)
+        return family, probability, contained
+
+    def _judge(self, sentence: str) -> tuple[float, float, str, str]:
+        own = words(sentence)
         z = self.logits(hashes(own)) / 100 / self.temperature
-        p = np.exp(z - z.max())
+        p = np.exp(z - z[:-1].max())
         p /= p.sum()
         best = int(p[:-1].argmax())
         pairs = {zlib.crc32(g.encode()) for g in grams(own, 2)}
         share = len(pairs & set(self.pairs[best])) / len(pairs) if pairs else 0.0
+        if pairs & set(self.telling[best]):
+            share = max(share, *(len(pairs & set(n)) / len(n) for n in self.notices[best]))
         found = p[best] >= self.least and share >= LEAST_CONTAINED
-        return (self.families[best] if found else UNKNOWN), float(p[best]), share
+        return float(p[best]), share, sentence, self.families[best] if found else UNKNOWN
 
 
 @cache
@@ -246,9 +266,11 @@ def _constant(value, kind: str) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    lines = F.split(F.coalesce(text, F.lit("")), "\n+", -1)
-    cut = F.flatten(F.transform(lines, lambda line: F.when(F.length(line) > LONG, F.split(line, r"(?<=[.!?;:])\s+", -1)).otherwise(F.array(line))))
-    return F.filter(cut, lambda p: F.trim(p) != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n+", -1), lambda p: F.trim(p) != "")
+
+
+def sentences(paragraph: Column) -> Column:
+    return F.filter(F.split(paragraph, SENTENCE_END, -1), lambda s: F.trim(s) != "")
 
 
 def _grams(own: Column, n: int) -> Column:
@@ -257,43 +279,60 @@ def _grams(own: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: Model | None = None) -> DataFrame:
-    """The columns ``keep``, ``n_paragraphs``, and ``hits``: an array of (paragraph, family, probability, contained) for the paragraphs with a
-    cue word; ``family`` is ``unknown`` unless probability and comparison both confirm it."""
+    """The columns ``keep``, ``n_paragraphs``, and ``hits``: an array of (paragraph, family, probability, contained, others). A line with a cue word
+    has one hit: the surest of its sentences that probability and comparison both confirm, else one of family ``unknown``. ``others`` are the
+    surest sentences for further families in that line."""
     held = model or fitted()
     n = len(held.families)
     prints, weights, bias = _constant(held.prints, "array<bigint>"), _constant(held.weights.ravel().tolist(), "array<int>"), _constant(held.bias, "array<int>")
     names, pairs = _constant(held.families, "array<string>"), _constant(held.pairs, "array<array<bigint>>")
+    notices, telling = _constant(held.notices, "array<array<array<bigint>>>"), _constant(held.telling, "array<array<bigint>>")
 
     def step(record: Column, **new: Column) -> Column:
         """``record`` with more fields; as a one-element array, so that each field is worked out once."""
         return F.transform(record, lambda r: F.struct(r["p"].alias("p"), *(f(r).alias(k) for k, f in new.items())))
 
+    def judged(own: Column) -> Column:
+        """(probability, contained, paragraph, family) of each sentence."""
+        one = F.transform(own, lambda p: F.struct(p.alias("p"), F.filter(F.split(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " "), " "), lambda w: w != "").alias("words")))
+        two = step(one, hashes=lambda r: F.array_distinct(F.concat(*(_grams(r["words"], k) for k in (1, 2, 3)))), pairs=lambda r: F.array_distinct(_grams(r["words"], 2)))
+        known = lambda r: F.filter(r["hashes"], lambda h: F.element_at(prints, (h % BUCKETS + 1).cast("int")) == h)
+        logits = lambda r: F.aggregate(known(r), bias, lambda acc, h: F.zip_with(acc, F.slice(weights, (h % BUCKETS * n + 1).cast("int"), F.lit(n)), lambda a, b: a + b))
+        three = step(two, logits=logits, pairs=lambda r: r["pairs"])
+        top = lambda r: F.array_max(F.slice(r["logits"], 1, n - 1))
+        scale = 100 * held.temperature
+        total = lambda r: F.aggregate(r["logits"], F.lit(0.0), lambda acc, z: acc + F.exp((z - top(r)) / scale))
+        four = step(three, best=lambda r: F.array_position(r["logits"], top(r)).cast("int"), probability=lambda r: 1 / total(r), pairs=lambda r: r["pairs"])
+        share = lambda a, b, of: F.size(F.array_intersect(a, b)) / F.size(of)
+        notice = lambda r: F.when(F.arrays_overlap(r["pairs"], F.element_at(telling, r["best"])), F.array_max(F.transform(F.element_at(notices, r["best"]), lambda m: share(r["pairs"], m, m))))
+        most = lambda r: F.greatest(share(r["pairs"], F.element_at(pairs, r["best"]), r["pairs"]), notice(r))
+        contained = lambda r: F.when(F.size(r["pairs"]) > 0, most(r)).otherwise(0.0)
+        five = step(four, family=lambda r: F.element_at(names, r["best"]), probability=lambda r: r["probability"], contained=contained)
+        sure = lambda r: (r["probability"] >= held.least) & (r["contained"] >= LEAST_CONTAINED)
+        return F.transform(five, lambda r: F.struct(r["probability"].alias("probability"), r["contained"].alias("contained"), r["p"].alias("paragraph"), F.when(sure(r), r["family"]).otherwise(UNKNOWN).alias("family")))
+
     own = F.filter(paragraphs(F.col(text)), lambda p: p.rlike(CUE))
-    one = F.transform(own, lambda p: F.struct(p.alias("p"), F.filter(F.split(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " "), " "), lambda w: w != "").alias("words")))
-    two = step(one, hashes=lambda r: F.array_distinct(F.concat(*(_grams(r["words"], k) for k in (1, 2, 3)))), pairs=lambda r: F.array_distinct(_grams(r["words"], 2)))
-    known = lambda r: F.filter(r["hashes"], lambda h: F.element_at(prints, (h % BUCKETS + 1).cast("int")) == h)
-    logits = lambda r: F.aggregate(known(r), bias, lambda acc, h: F.zip_with(acc, F.slice(weights, (h % BUCKETS * n + 1).cast("int"), F.lit(n)), lambda a, b: a + b))
-    three = step(two, logits=logits, pairs=lambda r: r["pairs"])
-    top = lambda r: F.array_max(F.slice(r["logits"], 1, n - 1))
-    scale = 100 * held.temperature
-    total = lambda r: F.aggregate(r["logits"], F.lit(0.0), lambda acc, z: acc + F.exp((z - top(r)) / scale))
-    four = step(three, best=lambda r: F.array_position(r["logits"], top(r)).cast("int"), probability=lambda r: 1 / total(r), pairs=lambda r: r["pairs"])
-    contained = lambda r: F.when(F.size(r["pairs"]) > 0, F.size(F.array_intersect(r["pairs"], F.element_at(pairs, r["best"]))) / F.size(r["pairs"])).otherwise(0.0)
-    five = step(four, family=lambda r: F.element_at(names, r["best"]), probability=lambda r: r["probability"], contained=contained)
-    sure = lambda r: (r["probability"] >= held.least) & (r["contained"] >= LEAST_CONTAINED)
-    hits = F.transform(five, lambda r: F.struct(r["p"].alias("paragraph"), F.when(sure(r), r["family"]).otherwise(UNKNOWN).alias("family"), r["probability"].alias("probability"), r["contained"].alias("contained")))
-    none = F.array().cast("array<struct<paragraph:string,family:string,probability:double,contained:double>>")
+    lines = step(F.transform(own, lambda p: F.struct(p.alias("p"))), judged=lambda r: judged(sentences(r["p"])))
+    split = step(lines, judged=lambda r: r["judged"], found=lambda r: F.filter(r["judged"], lambda j: j["family"] != UNKNOWN))
+    surest = lambda r: F.array_max(F.when(F.size(r["found"]) > 0, r["found"]).otherwise(r["judged"]))
+    first = step(split, found=lambda r: r["found"], first=surest)
+    shown = lambda j: [j[k].alias(k) for k in ("paragraph", "family", "probability", "contained")]
+    further = lambda r: F.filter(F.array_distinct(F.transform(r["found"], lambda j: j["family"])), lambda f: f != r["first"]["family"])
+    others = lambda r: F.transform(F.transform(further(r), lambda f: F.array_max(F.filter(r["found"], lambda j: j["family"] == f))), lambda j: F.struct(*shown(j)))
+    hits = F.transform(first, lambda r: F.struct(*shown(r["first"]), others(r).alias("others")))
+    hit = "paragraph:string,family:string,probability:double,contained:double"
+    none = F.array().cast(f"array<struct<{hit},others:array<struct<{hit}>>>>")
     return docs.select(*keep, F.size(paragraphs(F.col(text))).cast("long").alias("n_paragraphs"), F.when(F.col(text).rlike(CUE), hits).otherwise(none).alias("hits"))
 
 
 def report(scanned: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: n_paragraphs, n_cued, n_licensed, families (sorted, comma-joined; empty: none), probability of the surest hit."""
+    """Per document: n_paragraphs, n_cued, n_licensed (paragraphs with a family), families (sorted, comma-joined; empty: none), probability of the surest hit."""
     sure = F.filter("hits", lambda h: h["family"] != UNKNOWN)
     return scanned.select(*keep, "n_paragraphs", F.size("hits").cast("long").alias("n_cued"), sure.alias("sure")).select(
         *keep,
         "n_paragraphs",
         "n_cued",
         F.size("sure").cast("long").alias("n_licensed"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("sure", lambda h: h["family"]))), ",").alias("families"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("sure", lambda h: F.concat(F.array(h["family"]), F.transform(h["others"], lambda o: o["family"])))))), ",").alias("families"),
         F.round(F.array_max(F.transform("sure", lambda h: h["probability"])), 6).alias("probability"),
     )

@@ -66,3 +66,19 @@ def test_query_is_native_and_has_a_row_for_each_document(spark, sf):
     assert rows.keys() == texts.keys()
     for notice, family in (("Released under the MIT License.", "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under the Apache License, Version 2.0.", "apache")):
         assert all(family in rows[i].families.split(",") for i, t in texts.items() if notice in t.split("\n"))
+
+
+def test_notices_inside_prose(spark):
+    prose = "The old mill by the river was built of red brick and has kept its wooden wheel until this very day, they say"
+    texts = {
+        f"{prose}. Released under the MIT License.": ["mit"],
+        f"{prose}. Released under the MIT License. {prose}. Photos licensed under CC BY-NC 4.0.": ["cc-by-nc", "mit"],
+        f"SPDX-License-Identifier: Zlib. {prose}.": [],
+        "The prisoner was released under the terms of the agreement with the license office.": [],
+        f"{prose}, released under the MIT License, and {prose}.": ["mit"],
+        f"{prose}. {prose}. {prose}. {prose}. SPDX-License-Identifier: MIT": ["mit"],
+        f"{prose}. {prose}. {prose}. {prose}. He lost his driving licence after the accident in March.": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in L.report(L.scan(df)).collect()}
+    assert [got[i] for i in range(len(texts))] == [",".join(f) for f in texts.values()]
