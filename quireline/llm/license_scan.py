@@ -8,8 +8,9 @@ most one in a hundred of its other paragraphs passes. A prediction counts if eno
 family, or enough of one notice's word pairs are in the sentence, and a pair among them that no other family's notices have.
 
 The scan itself is one projection of DataFrame functions, row by row, without a shuffle: weights and notices are constants in it. Texts
-are split into lines (the paragraphs) and these into sentences, which are judged one by one; a line without any cue word is not looked at
-further (each notice has one). Whole texts are scanned.
+are split into lines (the paragraphs) and these into sentences, which are judged one by one. Sentences with less than half of their
+word pairs in notices, and without a pair that tells a family, are passed over: comparison could not confirm them. Cue words only decide which lines without a
+confirmed sentence are listed as ``unknown``. Whole texts are scanned.
 
 Null and empty texts have no paragraphs and no families. Rows are judged one by one, so repeats and empty tables need nothing.
 """
@@ -192,6 +193,8 @@ class Model:
         self.notices = [[sorted(both(t)) for t in pieces(NOTICES[f])] for f in self.families[:-1]]
         #: Pairs that are in the notices of one family only.
         self.telling = [sorted(set().union(*map(both, NOTICES[f])) - set().union(*(both(t) for g in NOTICES if g != f for t in NOTICES[g]), *map(both, OTHERS))) for f in self.families[:-1]]
+        self.telling_pairs = [g for g in sorted({g for t in sum(NOTICES.values(), []) for g in grams(words(t), 2)}) if any(zlib.crc32(g.encode()) in t for t in self.telling)]
+        self.all_pairs = sorted({g for f in NOTICES for t in NOTICES[f] for g in grams(words(t), 2)})
         self.pairs = [sorted(set().union(*map(both, NOTICES[f]))) for f in self.families[:-1]]
 
     def _matrix(self, rows: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -278,14 +281,21 @@ def _grams(own: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.crc32(F.array_join(F.slice(own, i, F.lit(n)), " ").cast("binary")))
 
 
+def _pairs(sentence: Column) -> Column:
+    """The word pairs of a sentence, as text."""
+    own = F.filter(F.split(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    return F.flatten(F.transform(F.array(own), lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
+
+
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: Model | None = None) -> DataFrame:
     """The columns ``keep``, ``n_paragraphs``, and ``hits``: an array of (paragraph, family, probability, contained, others). A line with a cue word
     has one hit: the surest of its sentences that probability and comparison both confirm, else one of family ``unknown``. ``others`` are the
-    surest sentences for further families in that line."""
+    surest sentences for further families in that line. Lines without a cue word are judged alike, and listed if a sentence is confirmed."""
     held = model or fitted()
     n = len(held.families)
     prints, weights, bias = _constant(held.prints, "array<bigint>"), _constant(held.weights.ravel().tolist(), "array<int>"), _constant(held.bias, "array<int>")
     names, pairs = _constant(held.families, "array<string>"), _constant(held.pairs, "array<array<bigint>>")
+    all_pairs, telling_pairs = (_constant(x, "array<string>") for x in (held.all_pairs, held.telling_pairs))
     notices, telling = _constant(held.notices, "array<array<array<bigint>>>"), _constant(held.telling, "array<array<bigint>>")
 
     def step(record: Column, **new: Column) -> Column:
@@ -311,18 +321,22 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         sure = lambda r: (r["probability"] >= held.least) & (r["contained"] >= LEAST_CONTAINED)
         return F.transform(five, lambda r: F.struct(r["probability"].alias("probability"), r["contained"].alias("contained"), r["p"].alias("paragraph"), F.when(sure(r), r["family"]).otherwise(UNKNOWN).alias("family")))
 
-    own = F.filter(paragraphs(F.col(text)), lambda p: p.rlike(CUE))
-    lines = step(F.transform(own, lambda p: F.struct(p.alias("p"))), judged=lambda r: judged(sentences(r["p"])))
-    split = step(lines, judged=lambda r: r["judged"], found=lambda r: F.filter(r["judged"], lambda j: j["family"] != UNKNOWN))
+    # containment needs half of the sentence's pairs in notices, or a pair that tells a family: this passes all that could be confirmed
+    fits = lambda w: F.arrays_overlap(w, telling_pairs) | (F.size(F.array_intersect(w, all_pairs)) >= LEAST_CONTAINED * F.size(F.array_distinct(w)))
+    near = lambda s: F.exists(F.array(_pairs(s)), lambda w: F.arrays_overlap(w, all_pairs) & fits(w))
+    own = F.transform(paragraphs(F.col(text)), lambda p: F.struct(p.alias("p"), p.rlike(CUE).alias("cued")))
+    chosen = F.transform(own, lambda r: F.struct(r["p"].alias("p"), r["cued"].alias("cued"), F.when(r["cued"], sentences(r["p"])).otherwise(F.filter(sentences(r["p"]), near)).alias("own")))
+    some = F.filter(chosen, lambda r: F.size(r["own"]) > 0)
+    lines = step(some, judged=lambda r: judged(r["own"]), cued=lambda r: r["cued"])
+    split = step(lines, cued=lambda r: r["cued"], judged=lambda r: r["judged"], found=lambda r: F.filter(r["judged"], lambda j: j["family"] != UNKNOWN))
     surest = lambda r: F.array_max(F.when(F.size(r["found"]) > 0, r["found"]).otherwise(r["judged"]))
-    first = step(split, found=lambda r: r["found"], first=surest)
+    listed = F.filter(split, lambda r: r["cued"] | (F.size(r["found"]) > 0))
+    first = step(listed, found=lambda r: r["found"], first=surest)
     shown = lambda j: [j[k].alias(k) for k in ("paragraph", "family", "probability", "contained")]
     further = lambda r: F.filter(F.array_distinct(F.transform(r["found"], lambda j: j["family"])), lambda f: f != r["first"]["family"])
     others = lambda r: F.transform(F.transform(further(r), lambda f: F.array_max(F.filter(r["found"], lambda j: j["family"] == f))), lambda j: F.struct(*shown(j)))
     hits = F.transform(first, lambda r: F.struct(*shown(r["first"]), others(r).alias("others")))
-    hit = "paragraph:string,family:string,probability:double,contained:double"
-    none = F.array().cast(f"array<struct<{hit},others:array<struct<{hit}>>>>")
-    return docs.select(*keep, F.size(paragraphs(F.col(text))).cast("long").alias("n_paragraphs"), F.when(F.col(text).rlike(CUE), hits).otherwise(none).alias("hits"))
+    return docs.select(*keep, F.size(paragraphs(F.col(text))).cast("long").alias("n_paragraphs"), hits.alias("hits"))
 
 
 def report(scanned: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -82,3 +82,17 @@ def test_notices_inside_prose(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.families for r in L.report(L.scan(df)).collect()}
     assert [got[i] for i in range(len(texts))] == [",".join(f) for f in texts.values()]
+
+
+def test_lines_without_cue_words_are_judged(spark):
+    model = L.fitted()
+    texts = ["Released under GPLv3", "Released under CC0 1.0.", "Distributed under the terms of the AGPLv3.", "SPDX: none.\nReleased under GPLv3 or later", "The mill was built of red brick. It is distributed under the terms of the AGPLv3."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.families for r in L.report(L.scan(df)).orderBy("doc_id").collect()] == ["gpl", "public-domain", "agpl", "gpl", "agpl"]
+    assert not any(L.re.search(L.CUE, texts[i]) for i in (0, 1, 2, 4))
+    # without a cue word, a line is listed exactly if its sentences are confirmed
+    rng = random.Random(2)
+    pool = [w for own in [*L.NOTICES.values(), L.OTHERS] for t in own for w in t.split() if not L.re.search(L.CUE, w)]
+    texts = [t for t in (" ".join(rng.choices(pool, k=rng.randrange(1, 12))) for _ in range(400)) if not L.re.search(L.CUE, t)]
+    for i, r in judged(spark, texts).items():
+        assert [h.family for h in r.hits] == [f for f in [model.judge(texts[i])[0]] if f != L.UNKNOWN], texts[i]
