@@ -5,8 +5,8 @@ place, and a text's vector bundles (adds) those of its n-grams. A language's pro
 the mean of all languages, which holds what they share. A text gets the language whose prototype is nearest by cosine.
 
 Bundling is linear, so a batch of texts is a matrix of n-gram counts times the n-gram vectors that occur in it: no step looks at less than
-the whole text, and memory is bounded by the batch. Training takes at most ``per_language`` texts of each language, those with the smallest
-hash of their text (a documented bound, met on average; equal texts count once). Prediction is row-wise, without a shuffle.
+the whole text, and memory is bounded by the batch. Training takes about ``per_language`` distinct texts with a letter of each language, those
+with the smallest hash of their text (a bound met on average), and all of a language that has no more; copies do not change the share. Prediction is row-wise, without a shuffle.
 
 Text that is null or has no letter is ``und`` with score 0. Rows with null text or language are not trained on. With no training rows at
 all everything is ``und``. Repeated rows are judged alike.
@@ -138,9 +138,9 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Profiles:
     """Prototypes from ``rows``. What reaches the driver: a vector for each language and task, of at most per_language texts a language."""
     small_batches(rows.sparkSession)
-    held = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    held = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     place, chosen = F.xxhash64("text") / F.lit(2.0**63), F.lit(False)
-    for r in held.groupBy("lang").count().collect():
+    for r in held.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().collect():
         share = min(1.0, per_language / r["count"])
         chosen = chosen | ((F.col("lang") == r.lang) & ((place < 2 * share - 1) if share < 1 else F.lit(True)))
     sample = held.filter(chosen).distinct()

@@ -43,3 +43,13 @@ def test_held_out_accuracy(spark, sf):
     assert len(got) == len(truth)
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_copies_do_not_thin_the_training_texts(spark):
+    once = spark.createDataFrame(rows(40), "doc_id long, text string, lang string")
+    hot = spark.range(5000).selectExpr("id AS doc_id", "'motu lopu' AS text", "'yy' AS lang")
+    marks = spark.range(5000).selectExpr("id AS doc_id", "concat(id, ' ...') AS text", "'zz' AS lang")
+    want = L.train(once.union(hot.limit(1)), per_language=50)
+    got = L.train(once.union(hot).union(marks), per_language=50)
+    assert got.names == want.names == ["xx", "yy", "zz"]
+    assert abs(got.prototypes - want.prototypes).max() < 1e-5
