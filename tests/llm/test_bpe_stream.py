@@ -52,6 +52,44 @@ def test_long_pre_tokens_stream_in_constant_memory():
         assert len(stream.waiting) <= 2 * stream.held.lookahead
 
 
+@pytest.mark.parametrize("letters", ["漢字語", "a", "'", "!?'", "é", "e\u0301", "한글", "\u1112\u1161\u11ab", "x1", "'ref", "ñ\xa0ô", "\u0301", "<|endoftext|>", "q<"])
+def test_texts_without_white_space_are_cut_anywhere(letters, monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice(letters) if len(letters) < 9 else letters for _ in range(3000 if len(letters) < 9 else 300))
+    monkeypatch.setattr(B, "FEED_BYTES", 97)
+    monkeypatch.setattr(B, "SEARCHED", 90)
+    for size in (7, 50, 400):
+        assert both(text + " end", size) == library(text + " end")
+        assert both("it's " + text, size) == library("it's " + text)
+
+
+def test_a_long_text_without_white_space_holds_little():
+    encoder, rng = B.Encoder(PATH), random.Random(6)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(700_000))
+    data, n, hashed = text.encode(), 0, hashlib.sha256()
+    for low in range(0, len(data), B.FEED_BYTES):
+        ids = encoder.feed(data[low : low + B.FEED_BYTES])
+        hashed.update(ids)
+        n += len(ids) // 4
+        assert len(encoder.rest) <= B.FEED_BYTES and (encoder.open is None or len(encoder.open.waiting) <= 2 * encoder.held.lookahead)
+    hashed.update(encoder.finish())
+    assert hashed.hexdigest() == hashlib.sha256(np.array(library(text)[0], "<u4").tobytes()).hexdigest() and n > 1_000_000
+
+
+def test_merging_together_is_merging_one_by_one():
+    held, rng = B.model(PATH), random.Random(7)
+    words = ["".join(rng.choice("etaoinshrdluéß!") for _ in range(rng.randrange(1, 40))).encode() for _ in range(5000)]
+    singly = [np.array(held.merged([*(held.inner[b] for b in w[:-1]), held.final[w[-1]]]), "<u4").tobytes() for w in words]
+    assert held.merged_many(words) == singly and held.merged_many([]) == []
+
+
+def test_other_files_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="cannot be encoded"):
+        B.Model(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_a_lookahead_that_is_too_short_fails():
     held = B.Model(PATH)
     rng = random.Random(4)
@@ -70,7 +108,10 @@ def test_a_lookahead_that_is_too_short_fails():
 
 def test_columns(spark):
     rows = [(1, None), (2, ""), (3, "The Cat sat"), (3, "The Cat sat"), (4, "word " * 100_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS ids", "'x' AS decoded")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS ids", "'x' AS decoded", "'x' AS __in", "'x' AS n_tokens", "1 AS ids_sha256", "1 AS `a.b`")
+    kept = B.digests(df, PATH, keep=tuple(df.columns))
+    assert kept.columns == ["doc_id", "text", "ids", "decoded", "__in", "n_tokens_kept", "ids_sha256_kept", "a.b", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert [(r.doc_id, r.text, r.n_tokens, r.n_tokens_kept) for r in kept.collect()] == [(i, t, len(library(t or "")[0]), "x") for i, t in rows]
     got = B.decode_column(B.encode_column(df, PATH), PATH).collect()
     assert [(r.doc_id, r.n_tokens, r.decoded) for r in got] == [(i, len(library(t or "")[0]), library(t or "")[1]) for i, t in rows]
     assert B.digests(df.limit(0), PATH).count() == 0
