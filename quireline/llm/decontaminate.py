@@ -5,11 +5,13 @@ Each text becomes words; of every ``window - gram + 1`` consecutive k-gram hashe
 Fingerprint hits are extended to all windows around them, and a window counts if its hash is one of the item's. Items shorter than a
 window are a window of their own length, whose fingerprint is the window itself.
 
-The benchmark goes to the executors in blocks of a fixed size, each built from at most ``block_chars`` characters; the documents pass
-through the blocks one after the other, so there is no shuffle and no part of the work depends on how often a passage repeats.
+Different items go to the executors in blocks of about ``block_chars`` characters, however often they repeat in the benchmark; the documents
+pass through ``TOGETHER`` blocks at a time, written to the shared folder in between. So there is no shuffle, and no part of the work depends
+on how often a passage repeats. Windows are compared by 64-bit hashes of their words (for 10^12 windows of documents and 10^7 of items one
+false hit is expected about every second run; the hash is fixed, so a run is repeatable).
 
 Nulls: a null text has no words. A null ``item_id`` counts as the item ``null``. Repeated rows: every document row is judged by itself;
-item rows with one ``item_id`` are one item. Empty tables give no rows, or no hits.
+item rows with one ``item_id`` are one item. Empty tables give no rows, or no hits. Kept columns may have any names (see ``columns``).
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.columns import Kept, named
 from quireline.llm.hashing import alphanumeric_mask, ngrams, word_rounds
-from quireline.llm.storage import small_batches
+from quireline.llm.storage import small_batches, written
 
 #: Words of a window, and of the k-grams whose hashes are winnowed.
 WINDOW, GRAM = 10, 5
-#: Characters of the benchmark that are held at once.
-BLOCK_CHARS = 32 << 20
+#: Characters of the benchmark in a block, and blocks that one pass over the documents holds.
+BLOCK_CHARS, TOGETHER = 32 << 20, 2
 
 
 def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
@@ -132,17 +135,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     ``items`` (ids of the items with such windows, sorted as strings, null: none)."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("text"))
+    source = benchmark.select(F.coalesce(named(item_id).cast("string"), F.lit("null")).alias("item"), named(item_text).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    if text in keep or doc_id in keep:
-        raise ValueError("keep names columns besides doc_id and text")
-    out = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    if blocks > 1:
+        source = written(source, "benchmark-items")
+    results = ("doc_id", "text", "n_words", "hits", "items")
+    kept = Kept(keep, results)
+    out = docs.select(named(doc_id).alias("doc_id"), *kept.held(), named(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     for block in range(blocks):
+        if block and block % TOGETHER == 0:  # no more blocks than these are in memory at once
+            out = written(out, "benchmark-blocks")
         rows = source.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         index = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in rows], window, gram))
         out = out.mapInArrow(_judge(index), out.schema)
-    return out
+    return out.select("doc_id", *kept.back(), *results[1:])
 
 
 def digest(items: Column) -> Column:

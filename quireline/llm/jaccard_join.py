@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.columns import named
 from quireline.llm.components import components
 from quireline.llm.hashing import ngrams, nonspace_mask, word_rounds
 from quireline.llm.storage import small_batches, written
@@ -342,11 +343,17 @@ def _links(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, thres
     return opened.repartition(*names).sortWithinPartitions(*names, "side", "node").mapInArrow(_open(threshold), "a binary, b binary")
 
 
+def row_hash(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """What ``jaccard_components`` tells rows of one doc_id apart by."""
+    return F.xxhash64(named(text).cast("string"), named(doc_id))
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 4, threshold: int = 85) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that it reaches by links), class_id (hex digest of its set)."""
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that it reaches by links), class_id (hex digest of its set), group_id
+    (a digest that all rows of a component have in common, whatever their doc_ids; null for empty sets) and row_hash (of text and doc_id)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tk", F.xxhash64("text", "doc_id"))
+    texts = docs.select(named(doc_id).alias("doc_id"), named(text).cast("string").alias("text")).withColumn("tk", row_hash("text", "doc_id"))
     common = spark.sparkContext.broadcast(_common_tokens(texts, k))
     kind = docs.schema[doc_id].dataType.simpleString()
     sketches = written(texts.select("doc_id", "tk", "text").mapInArrow(_sketch(k, threshold, common), f"doc_id {kind}, {_SKETCH}"), "jaccard-sketches")
@@ -364,8 +371,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     joined = components(_links(members, pairs, texts, k, threshold), "jaccard-joined")
     final = nodes.select("node", "lowest").join(joined, "node", "left").select("node", "lowest", F.coalesce("comp", "node").alias("whole"))
     lowest = joined.join(nodes.select("node", "lowest"), "node").groupBy(F.col("comp").alias("whole")).agg(F.min("lowest").alias("component_id"))
-    classes = written(final.join(lowest, "whole", "left").select("node", F.coalesce("component_id", "lowest").alias("component_id")), "jaccard-components")
-    return sketches.select("doc_id", "n", "node").join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("node").alias("class_id"))
+    classes = written(final.join(lowest, "whole", "left").select("node", "whole", F.coalesce("component_id", "lowest").alias("component_id")), "jaccard-components")
+    shown = (F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("node").alias("class_id"), F.hex("whole").alias("group_id"), F.col("tk").alias("row_hash"))
+    return sketches.select("doc_id", "n", "node", "tk").join(classes, "node", "left").select("doc_id", *shown)
 
 
 def brute_force(docs: list[tuple], k: int = 4, threshold: int = 85) -> dict:

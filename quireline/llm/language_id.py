@@ -8,8 +8,11 @@ Bundling is linear, so a batch of texts is a matrix of n-gram counts times the n
 the whole text, and memory is bounded by the batch. Training takes about ``per_language`` distinct texts with a letter of each language, those
 with the smallest hash of their text (a bound met on average), and all of a language that has no more; copies do not change the share. Prediction is row-wise, without a shuffle.
 
+Letters beyond a to z share ``CLASSES`` - 27 classes by a hash, so scripts of many letters have some n-grams in common.
+
 Text that is null or has no letter is ``und`` with score 0. Rows with null text or language are not trained on. With no training rows at
-all everything is ``und``. Repeated rows are judged alike.
+all everything is ``und`` (``Profiles.names`` is empty then, which tells it from a text without letters). Repeated rows are judged alike.
+Kept columns may have any names (see ``columns``).
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.columns import Kept, named
 from quireline.llm.storage import small_batches
 
 UNKNOWN = "und"
@@ -138,12 +142,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Profiles:
     """Prototypes from ``rows``. What reaches the driver: a vector for each language and task, of at most per_language texts a language."""
     small_batches(rows.sparkSession)
-    held = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
-    place, chosen = F.xxhash64("text") / F.lit(2.0**63), F.lit(False)
-    for r in held.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().collect():
-        share = min(1.0, per_language / r["count"])
-        chosen = chosen | ((F.col("lang") == r.lang) & ((place < 2 * share - 1) if share < 1 else F.lit(True)))
-    sample = held.filter(chosen).distinct()
+    held = rows.select(named(text).cast("string").alias("text"), named(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
+    counts = held.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
+    # the share of a language as a bound of the hash: all texts of a language with no more than per_language
+    place = F.xxhash64("text") / F.lit(2.0**63)
+    sample = held.join(counts, "lang").filter((F.col("share") >= 1) | (place < 2 * F.col("share") - 1)).select("text", "lang").distinct()
     total: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(_sums, "lang string, vector binary").collect():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.vector, np.float64)
@@ -155,9 +158,10 @@ def predict(rows: DataFrame, profiles: Profiles, *, text: str = "text", keep: tu
     """The columns ``keep``, ``lang_pred`` and ``score`` (the best cosine, 0 if negative)."""
     small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(profiles)
-    source = text if text in keep else "__text"  # a kept text travels once
-    held = rows.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias(source)]))
-    schema = rows.select(*keep, F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score")).schema
+    kept = Kept(keep, ("lang_pred", "score"))
+    source = kept.places[kept.names.index(text)] if text in kept.names else "__text"  # a kept text travels once
+    held = rows.select(*kept.held(), *([] if text in kept.names else [named(text).cast("string").alias(source)]))
+    schema = held.select(*kept.places, F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -170,7 +174,7 @@ def predict(rows: DataFrame, profiles: Profiles, *, text: str = "text", keep: tu
                     for i in np.flatnonzero(letter):
                         names[low + i] = model.names[best[i]]
                         scores[low + i] = max(0.0, float(cosines[i, best[i]]))
-            kept = [n for n in batch.schema.names if n in keep]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            passed = [n for n in batch.schema.names if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in passed), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*passed, "lang_pred", "score"])
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(run, schema).select(*kept.back(), "lang_pred", "score")

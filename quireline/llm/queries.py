@@ -97,7 +97,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, threshold=85).drop("class_id")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, threshold=85).select("doc_id", "n_shingles", "component_id")
 
 
 OP7_SQL = r"""
