@@ -10,8 +10,9 @@ stays, ``convert_arcs`` writes WARC files, and ``read_warcs`` reads those back.
 digests are counted before the shuffle, and the join that tells them apart is salted, so one payload may be a third of all rows. Files are
 written to a shared folder under a temporary name and renamed.
 
-Null html is an empty payload, a null url is written as ``-``. Rows with the same page_id and payload: one of them is the response. A null
-page_id is smaller than any other. Empty tables give no rows. A record cut off before its declared length raises ``ValueError``.
+A header line ends its URL at white space, so white space in a URL is written percent-encoded, and that is what the WARC record has. Null html
+is an empty payload, a null url is written as ``-``. Rows with the same page_id and payload: one of them is the response. A null
+page_id is smaller than any other. Other columns are not looked at. Empty tables give no rows. A record cut off before its declared length raises ``ValueError``.
 """
 
 from __future__ import annotations

@@ -83,6 +83,17 @@ def _check(held: dict, symbols: list[str]) -> None:
         raise ValueError(f"the file's {', '.join(wrong)} cannot be encoded by this module")
 
 
+def is_lower_case_words(path: str) -> bool:
+    """Whether a file has the components that this module knows, and added tokens that begin with ``<`` only."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    try:
+        _check(held, byte_symbols())
+    except (ValueError, KeyError):
+        return False
+    return all(a["content"].startswith("<") for a in held["added_tokens"])
+
+
 @cache
 def _seconds() -> frozenset[str]:
     """Characters that normalisation may join to the one before, although they are no combining marks."""

@@ -5,10 +5,11 @@ template or of common others) gets a backslash behind its first character; where
 it is exact. An example is the formatted turns up to its target; ``loss_start`` and ``loss_chars`` give the code points of the target's
 text in it. A conversation that does not end with an assistant has one more example, without a target, so that no turn is lost.
 
-Only DataFrame functions are used. Turns are collected by conversation with one shuffle (a conversation is one text, so it is one row), and
-what follows keeps that partitioning.
+Only DataFrame functions are used. Turns are collected by conversation with one shuffle, and what follows keeps that partitioning. A conversation
+is one row, because its last example is one text that holds all of it; every example is the beginning of that text, so what is carried to
+the examples is this text and where they end.
 
-Null role and null text are empty. Turns of one number are in the order of role, then text. A null conv_id is a conversation of its own.
+Other columns are not looked at, whatever their names. Null role and null text are empty. Turns of one number are in the order of role, then text. A null conv_id is a conversation of its own.
 A conversation without assistant turns has only the example without a target.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.columns import named
+
 TURN, TEXT, END, TARGET = "<|turn|>", "<|text|>", "<|end|>", "assistant"
 #: What may follow ``<`` or ``[`` in a control string.
 _REST = r"(\||/?s>|/?INST\]|</?SYS>>)"
@@ -32,28 +35,29 @@ def unescaped(text: Column) -> Column:
 
 def expand(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", target: str = TARGET) -> DataFrame:
     """Per example: conv_id, example (from 1), n_examples, n_turns, formatted, loss_start (from 0), loss_chars; the last two are 0 without a target."""
-    row = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    whole = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    row = F.struct(named(turn).alias("turn"), F.coalesce(named(role), F.lit("")).alias("role"), F.coalesce(named(text), F.lit("")).alias("text"))
+    whole = turns.groupBy(named(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     head = lambda t: F.concat(F.lit(TURN), escaped(t["role"]), F.lit(TEXT))
     parts = whole.select("conv_id", F.transform("rows", lambda t: F.struct(head(t).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == target).alias("own"))).alias("parts"))
-    number = F.transform("parts", lambda p, i: F.when(p["own"] | (i == F.size("parts") - 1), i + 1))
-    chunks = F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END)))
-    ends = F.filter(number, lambda n: n.isNotNull())
-    held = parts.select("conv_id", "parts", chunks.alias("chunks"), ends.alias("ends"))
-    each = held.select("conv_id", "parts", "chunks", F.size("ends").alias("n_examples"), F.posexplode("ends").alias("pos", "n_turns"))
-    last = F.element_at("parts", F.col("n_turns"))
-    context = F.array_join(F.slice("chunks", F.lit(1), F.col("n_turns") - 1), "")
-    made = each.select("conv_id", (F.col("pos") + 1).alias("example"), "n_examples", "n_turns", context.alias("context"), last.alias("last"))
-    loss = F.when(F.col("last.own"), F.length("last.body")).otherwise(0)
-    return made.select(
+    # where each turn ends in the text of all, and which of them end an example
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<n_turns:int,end:int,loss_start:int,loss_chars:int>>").alias("turns"))
+
+    def place(acc: Column, p: Column) -> Column:
+        text_at = acc["end"] + F.length(p["head"])
+        end = text_at + F.length(p["body"]) + len(END)
+        one = F.struct((F.size(acc["turns"]) + 1).alias("n_turns"), end.alias("end"), F.when(p["own"], text_at).otherwise(0).alias("loss_start"), F.when(p["own"], F.length(p["body"])).otherwise(0).alias("loss_chars"))
+        return F.struct(end.alias("end"), F.concat(acc["turns"], F.array(one)).alias("turns"))
+
+    held = parts.select(
         "conv_id",
-        "example",
-        "n_examples",
-        "n_turns",
-        F.concat("context", "last.head", "last.body", F.lit(END)).alias("formatted"),
-        F.when(F.col("last.own"), F.length("context") + F.length("last.head")).otherwise(0).alias("loss_start"),
-        loss.alias("loss_chars"),
+        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("all"),
+        F.size("parts").alias("size"),
+        F.transform("parts", lambda p: p["own"]).alias("own"),
+        F.aggregate("parts", start, place, lambda acc: acc["turns"]).alias("turns"),
     )
+    ends = F.filter("turns", lambda t, i: F.element_at("own", i + 1) | (i == F.col("size") - 1))
+    each = held.select("conv_id", "all", ends.alias("ends")).select("conv_id", "all", F.size("ends").alias("n_examples"), F.posexplode("ends").alias("pos", "at"))
+    return each.select("conv_id", (F.col("pos") + 1).alias("example"), "n_examples", "at.n_turns", F.substring("all", F.lit(1), F.col("at.end")).alias("formatted"), "at.loss_start", "at.loss_chars")
 
 
 def turns_of(formatted: Column) -> Column:

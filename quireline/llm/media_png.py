@@ -2,10 +2,12 @@
 
 ``encode_column`` pads each payload with zero bytes to a positive multiple of the image's width and stores it as a PNG whose rows use the
 filter (none, left or above) with the smallest sum of absolute residuals. ``decode_column`` checks the signature and every chunk's CRC-32,
-inflates the image data and undoes all five row filters with numpy. Both are row-wise, so there is no shuffle.
+inflates the image data, no further than the header says, and undoes all five row filters with numpy: whole rows at a time, or for the
+two filters that need the byte before, all bytes of a diagonal at a time. Both are row-wise, so there is no shuffle. ``samples`` reads 8-bit
+images of any colour type but palettes, without interlace; features are of greyscale images.
 
 Null payloads count as empty: one row of zero bytes. A damaged image raises ``ValueError`` in ``decode`` and gives nulls and a ``problem``
-text in ``decode_column``. Equal payloads give equal images and features.
+text in ``decode_column``. Equal payloads give equal images and features. Kept columns may have any names (see ``columns``).
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.columns import Kept, named
 from quireline.llm.storage import small_batches
 
 WIDTH = 64
@@ -28,6 +31,8 @@ CHUNK_BYTES, BLOCK_ROWS = 1 << 16, 1 << 14
 #: Side of the reduced image and of its low-frequency corner.
 SIDE, CORNER = 32, 8
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Samples of a pixel by colour type (grey, colour, grey and alpha, colour and alpha).
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 _cosine = np.cos(np.pi * (2 * np.arange(SIDE) + 1)[None, :] * np.arange(CORNER)[:, None] / (2 * SIDE))
 
@@ -70,41 +75,43 @@ def encode(payload: bytes, width: int = WIDTH, level: int = 3) -> bytes:
     return b"".join([*out, _chunk(b"IEND", b"")])
 
 
-def _sequential(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Filters 3 (mean) and 4 (nearest of left, above, above left): each byte needs the one before it."""
-    out, left, corner = [], 0, 0
-    for value, up in zip(row.tolist(), above.tolist(), strict=True):
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            whole = left + up - corner
-            guess = min((abs(whole - left), 0, left), (abs(whole - up), 1, up), (abs(whole - corner), 2, corner))[2]
-        left, corner = (value + guess) & 255, up
-        out.append(left)
-    return np.array(out, np.uint8)
-
-
-def unfiltered(rows: np.ndarray) -> np.ndarray:
-    """Undo row filters; runs of rows with one filter are done together where the filter allows."""
+def _diagonals(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """Undoes filters 3 (mean) and 4 (nearest of left, above, above left) of some rows. A byte needs the ones before it in its row and in the row
+    above, so that all bytes with one sum of row and pixel can be done together. ``above`` is the row before the first."""
+    height, width = len(rows), rows.shape[1] // step
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    out[0, 1:] = above.reshape(width, step)
+    values, mean = rows.reshape(height, width, step), (kinds == 3)[:, None]
+    for place in range(height + width - 1):
+        y = np.arange(max(0, place - width + 1), min(height, place + 1))
+        x = place - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        far_left, far_up, far_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((far_left <= far_up) & (far_left <= far_corner), left, np.where(far_up <= far_corner, up, corner))
+        out[y + 1, x + 1] = (values[y, x] + np.where(mean[y], (left + up) >> 1, nearest)) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, -1)
+
+
+def unfiltered(rows: np.ndarray, step: int = 1) -> np.ndarray:
+    """Undo row filters; ``step``: bytes of a pixel. Runs of rows with one filter, or with filters 3 and 4, are done together."""
     kinds, out = rows[:, 0], rows[:, 1:].copy()
     if len(kinds) and kinds.max() > 4:
         raise ValueError("unknown row filter")
-    lefts = kinds == 1
-    out[lefts] = np.cumsum(out[lefts], axis=1, dtype=np.uint8)
-    edges = np.flatnonzero(np.diff(kinds)) + 1
+    lefts, pixels = kinds == 1, out.reshape(len(out), out.shape[1] // step, step)
+    pixels[lefts] = np.cumsum(pixels[lefts], axis=1, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.minimum(kinds, 3))) + 1
     for low, high in zip([0, *edges], [*edges, len(kinds)], strict=True):
         above = out[low - 1] if low else np.zeros(out.shape[1], np.uint8)
         kind = int(kinds[low]) if len(kinds) else 0
         if kind == 2:
             out[low:high] = np.cumsum(out[low:high], axis=0, dtype=np.uint8) + above
         elif kind > 2:
-            for i in range(low, high):
-                out[i] = above = _sequential(kind, out[i], above)
+            out[low:high] = _diagonals(kinds[low:high], out[low:high], above, step)
     return out
 
 
-def decode(media: bytes) -> bytes:
-    """The samples of an 8-bit greyscale PNG, checked."""
+def samples(media: bytes) -> tuple[int, int, int, bytes]:
+    """(width, height, samples of a pixel, samples) of an 8-bit PNG, checked."""
     if media[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, head, done, parts = 8, None, False, []
@@ -115,9 +122,11 @@ def decode(media: bytes) -> bytes:
         body = media[at + 8 : at + 8 + size]
         if len(body) < size or struct.unpack(">I", media[at + 8 + size : at + 12 + size].rjust(4, b"\0"))[0] != zlib.crc32(media[at + 4 : at + 8 + size]):
             raise ValueError(f"checksum of chunk {kind.decode('latin-1')}")
-        if head is None and kind != b"IHDR":
-            raise ValueError("no header chunk first")
+        if (head is None) != (kind == b"IHDR"):
+            raise ValueError("header chunk not first, or again")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("size of the header chunk")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
@@ -126,13 +135,25 @@ def decode(media: bytes) -> bytes:
         elif not kind[0] & 32:
             raise ValueError(f"unknown critical chunk {kind.decode('latin-1')}")
         at += 12 + size
-    if not done or head[2:] != (8, 0, 0, 0, 0):
-        raise ValueError("not a whole 8-bit greyscale image")
-    width, height = head[:2]
-    data = zlib.decompress(b"".join(parts))
-    if len(data) != height * (width + 1):
+    if not done or head[2] != 8 or head[3] not in CHANNELS or head[4:] != (0, 0, 0):
+        raise ValueError("not a whole 8-bit image without palette and interlace")
+    width, height, channels = head[0], head[1], CHANNELS[head[3]]
+    if not width or not height:
+        raise ValueError("empty image")
+    size = height * (width * channels + 1)
+    unpacker = zlib.decompressobj()
+    data = unpacker.decompress(b"".join(parts), size + 1)
+    if len(data) != size or not unpacker.eof:
         raise ValueError("wrong number of samples")
-    return unfiltered(np.frombuffer(data, np.uint8).reshape(height, width + 1)).tobytes()
+    return width, height, channels, unfiltered(np.frombuffer(data, np.uint8).reshape(height, -1), channels).tobytes()
+
+
+def decode(media: bytes) -> bytes:
+    """The samples of an 8-bit greyscale PNG, checked."""
+    _, _, channels, data = samples(media)
+    if channels != 1:
+        raise ValueError("not greyscale")
+    return data
 
 
 def cosine_hash(samples: bytes, width: int = WIDTH) -> str:
@@ -160,9 +181,10 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_column(rows: DataFrame, payload: str, *, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, ``n_bytes`` of the unpadded payload, and its image ``media``. ``payload``: a string (as UTF-8) or binary column."""
     small_batches(rows.sparkSession)
-    held = rows.select(*keep, F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n_bytes"), F.col(payload).cast("binary").alias("payload"))
+    kept = Kept(keep, ("n_bytes", "media"))
+    held = rows.select(*kept.held(), F.coalesce(F.octet_length(named(payload)), F.lit(0)).cast("long").alias("n_bytes"), named(payload).cast("binary").alias("payload"))
     schema = held.drop("payload").withColumn("media", F.lit(None).cast("binary")).schema
-    return held.mapInArrow(_encode, schema)
+    return held.mapInArrow(_encode, schema).select(*kept.back(), "n_bytes", "media")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +195,10 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 if media is None:
                     raise ValueError("no image")
-                samples = decode(media)
-                row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples), None)
+                width, _, channels, data = samples(media)
+                if channels != 1:
+                    raise ValueError("not greyscale")
+                row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(data, width), None)
             except (ValueError, zlib.error) as e:
                 row = (*[None] * 6, str(e))
             for column, value in zip(out, row, strict=True):
@@ -187,7 +211,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decode_column(rows: DataFrame) -> DataFrame:
     """What the images of the column ``media`` hold, beside the other columns."""
     small_batches(rows.sparkSession)
-    held = rows.drop("media")
     kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "problem": "string"}
-    schema = held.select("*", *(F.lit(None).cast(k).alias(n) for n, k in kinds.items())).schema
-    return rows.select(*held.columns, "media").mapInArrow(_decode, schema)
+    kept = Kept([c for c in rows.columns if c != "media"], kinds)
+    held = rows.select(*kept.held(), F.col("media"))
+    schema = held.select(*kept.places, *(F.lit(None).cast(k).alias(n) for n, k in kinds.items())).schema
+    return held.mapInArrow(_decode, schema).select(*kept.back(), *kinds)

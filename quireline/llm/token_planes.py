@@ -8,11 +8,13 @@ A block has ``block_ids`` 32-bit ids (the last one fewer). As byte planes it is
 of zeros takes no bytes. The documents (doc_id and number of ids) are an Arrow stream. The index has, for each block, its offset, number of
 ids and the length of each plane; the footer has the places of both and a CRC-32. A reader opens any block without the others.
 
-Documents are dealt by range of (doc_id, hash of the text), so that shards follow each other in the order of doc_id and no single id, however
-often it repeats, has to fit one task. Rows of one doc_id are in the order of that hash. Shards are written by the tasks themselves, under a
-temporary name and then renamed, so a repeated task gives the same file. What reaches the driver is one row for each shard.
+Documents are dealt by range of (doc_id, hash of the text, one of ``SALTS`` parts by the row's place in the input), so that shards follow each
+other in the order of doc_id and no single id, nor one row that repeats, has to fit one task. Rows of one doc_id are in the order of that
+hash; equal rows have equal bytes, so their order does not matter. Shards are written by the tasks themselves, under a temporary name and
+then renamed, so a repeated task gives the same file. What reaches the driver is one row for each shard.
 
-Null text is empty text and has only the end id. A null doc_id comes before all others. Empty tables give no rows.
+Null text is empty text and has only the end id. A null doc_id comes before all others. Empty tables give no rows. Other columns are not
+looked at. Files with other components than ``LibraryEncoder`` knows short cuts for are encoded by the library, text by text.
 """
 
 from __future__ import annotations
@@ -31,10 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireline.llm.columns import named
 from quireline.llm.storage import filesystem, new_folder, publish, small_batches
 
 MAGIC, FOOTER = b"QPLANES1", struct.Struct("<QQQIB3x8s")
 BLOCK_IDS = 1 << 16
+#: Parts into which the rows of one doc_id and text are dealt.
+SALTS = 256
 #: Pieces that are remembered, the bytes from which a piece is not, and the bytes of texts that are encoded together.
 REMEMBERED, LONG, TOGETHER = 1_000_000, 200, 1 << 20
 #: A run of these behind letters, up to the end of a piece, is one token text of its own.
@@ -133,18 +138,25 @@ class Reader:
         return ids_of(planes, n, self.kind)
 
     def documents(self) -> Iterator[tuple[object, int, Iterator[np.ndarray]]]:
-        """(doc_id, ids of this shard before it, its ids in pieces), in order; one block is held."""
-        number, held, used, before = -1, np.zeros(0, "<u4"), 0, 0
-        for doc_id, n in zip(self.doc_ids, self.n_tokens.tolist(), strict=True):
-            pieces, need = [], n
+        """(doc_id, ids of this shard before it, its ids in pieces), in order; one block is held. What of a document's pieces has not been taken
+        when the next one is asked for is passed over."""
+        number, held, used, before, need = -1, np.zeros(0, "<u4"), 0, 0, 0
+
+        def pieces() -> Iterator[np.ndarray]:
+            nonlocal number, held, used, need
             while need:
                 if used == len(held):
                     number, used = number + 1, 0
                     held = self.block(number)
                 piece = held[used : used + need]
                 used, need = used + len(piece), need - len(piece)
-                pieces.append(piece)
-            yield doc_id, before, iter(pieces)
+                yield piece
+
+        for doc_id, n in zip(self.doc_ids, self.n_tokens.tolist(), strict=True):
+            need, own = n, pieces()
+            yield doc_id, before, own
+            for _ in own:
+                pass
             before += n
 
 
@@ -154,13 +166,18 @@ class LibraryEncoder:
     A piece that is not known is taken as a word, its ASCII letters in lower case, and the punctuation behind it, which is a pre-token of its own. A
     word of a to z is a pre-token as it stands and goes straight to the library's merges. Other words of letters go to the library many at
     once, with blanks between: each is one pre-token, so its last token is the only one that ends a word. Anything else goes by itself.
+
+    All this holds for files of lower-case words with end-of-word marks (``words``, from the file's components). With any other file, whole
+    texts go to the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        from quireline.llm.bpe_stream import is_lower_case_words
+
+        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, is_lower_case_words(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab()
@@ -198,6 +215,8 @@ class LibraryEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.words:
+            return [ids.tobytes() for ids in self._library([t.decode("utf-8") for t in texts])]
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -240,8 +259,9 @@ def write_shards(docs: DataFrame, path: str, *, end_id: int, doc_id: str = "doc_
     small_batches(spark)
     folder = folder or new_folder(spark, "token-planes")
     end = np.array([end_id], "<u4").tobytes()
-    held = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("data"), F.xxhash64(F.col(text)).alias("h"))
-    dealt = held.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    held = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text).cast("binary"), F.lit(b"")).alias("data"), F.xxhash64(named(text)).alias("h"), salt.alias("salt"))
+    dealt = held.repartitionByRange("doc_id", "h", "salt").sortWithinPartitions("doc_id", "h").drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer, encoder = TaskContext.get(), None, library_encoder(path)

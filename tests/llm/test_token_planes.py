@@ -55,6 +55,38 @@ def test_library_pieces_equal_whole_texts():
         assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_other_files_go_to_the_library_whole():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, texts = Tokenizer.from_file(path), ["", "It's  Words\nand 123 more", " leading é 漢字 "]
+    encoder = T.LibraryEncoder(path)
+    assert not encoder.words and T.LibraryEncoder(queries.vocabulary_path()).words
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_that_are_not_taken_are_passed_over():
+    out, docs = io.BytesIO(), [(i, np.arange(i * 10, dtype="<u4")) for i in range(9)]
+    writer = T.Writer(out, "byte", block_ids=16)
+    for i, ids in docs:
+        writer.add(i, ids.tobytes())
+    writer.close()
+    for (i, ids), (doc, _, pieces) in zip(docs, T.Reader(io.BytesIO(out.getvalue())).documents(), strict=True):
+        assert doc == i and (i % 2 == 0 or [x for p in pieces for x in p] == ids.tolist())
+
+
+def test_a_row_that_repeats_is_dealt_to_many_tasks(spark):
+    df = spark.createDataFrame([(1, "same text")] * 400 + [(2, "other")], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = T.write_shards(df, queries.vocabulary_path(), end_id=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = [r.n_docs for r in shards.collect()]
+    assert sum(counts) == 401 and max(counts) < 300
+    assert {r.n_tokens for r in T.read_documents(T.shard_rows(spark, shards), "bigint").collect()} == {len(ids_of("same text")), len(ids_of("other"))}
+
+
 def test_shards_with_nulls_repeats_and_long_texts(spark):
     rows = [(5, "five five"), (None, "none"), (2, None), (2, "two"), (2, "two"), (9, "x" * 5000), (7, "word " * 200_000), (-3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS data", "1 AS shard").repartition(3)

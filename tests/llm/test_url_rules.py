@@ -33,6 +33,26 @@ def test_label_bounds_and_defaults(spark):
     assert judged(spark, [], rules) == []
 
 
+def test_many_nested_paths_of_one_host_in_many_blocks(spark):
+    rng = random.Random(10)
+    path = lambda: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(0, 9)))
+    rules = [("h.org", path(), rng.choice(["allow", "block", "other"])) for _ in range(300)] + [("org", path(), "block") for _ in range(50)]
+    rules = [*{r[:2]: r for r in rules}.values()] + [("h.org", "/zz", "allow"), ("h.org", "/zz", "block"), ("net", "/q", None)]
+    urls = ["http://" + rng.choice(["h.org", "x.h.org", "org", "i.org"]) + path() for _ in range(400)] + ["http://h.org/zzz", "http://net/q"]
+    want = [U.brute_force(u, [r for r in rules if r[2]]) for u in urls]
+    assert want[-2:] == [("h.org", "/zzz", "h.org/zz", "block"), ("net", "/q", None, "allow")] and len({w[2] for w in want}) > 60
+    for size in (1 << 20, 2000, 600):
+        assert judged(spark, urls, rules, block_chars=size) == want
+
+
+def test_kept_columns_of_any_name(spark):
+    names = ["host", "path", "rule", "verdict", "rkey", "rule_host", "rule_path", "page_id", "__k0"]
+    df = spark.sql("SELECT 'http://a.org/x' AS url, " + ", ".join(f"{i} AS `{n}`" for i, n in enumerate(names)))
+    out = U.judge_urls(df, spark.createDataFrame([("org", "/", "block")], SCHEMA), keep=tuple(names))
+    assert out.columns == ["host_kept", "path_kept", "rule_kept", "verdict_kept", *names[4:], "host", "path", "rule", "verdict"]
+    assert tuple(out.first()) == (*range(len(names)), "a.org", "/x", "org/", "block")
+
+
 def test_query(spark, sf):
     urls = {r.page_id: r.url for r in queries.table(spark, sf, "pages").collect()}
     got = queries.op10_url_rules(spark, sf).collect()
