@@ -6,15 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireline.functions.text import error_rate
+from quireline.operators.grouped import per_group
 
 
 def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance, a column of the table at a time: its steps up and down are the bits of two numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    last, mask = 1 << len(a) - 1, (1 << len(a)) - 1
+    up, down, score = mask, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        more, less = down | ~(level | up) & mask, up & level
+        score += (more & last > 0) - (less & last > 0)
+        more, less = (more << 1 | 1) & mask, less << 1 & mask
+        up, down = less | ~(level | more) & mask, more & level
+    return score
 
 
 def rate(got: str, truth: str) -> float:
@@ -55,46 +66,40 @@ def align(got: list[str], truth: list[str], *, gap: float = 1.0, most: float = 0
     return out[::-1]
 
 
-def _fresh(df: DataFrame, doc: str, *others: str):
-    """Grouped by document, as columns of its own: both sides may come from one table."""
-    return df.select(*(F.col(c).alias(c) for c in (doc, *others))).groupBy(doc)
+def _both(got: DataFrame, truth: DataFrame, doc: str, order: str, title: str) -> DataFrame:
+    """Rows of both sides, told apart by ``__side`` (0: got)."""
+    one = lambda df, n: df.select(doc, F.lit(n).alias("__side"), order, F.coalesce(title, F.lit("")).alias("__t"))
+    return one(got, 0).unionByName(one(truth, 1))
 
 
 def align_entries(got: DataFrame, truth: DataFrame, doc: str, order: str, title: str) -> DataFrame:
     """doc, got_pos, truth_pos, cer: the alignment of each document's titles. Documents of either side are there."""
-    kind = got.schema[order].dataType.simpleString()
 
-    def run(mine, theirs):
-        import pandas as pd
+    def run(rows: list[tuple]) -> list[tuple]:
+        sides = [[r for r in rows if r[1] == n] for n in (0, 1)]
+        at = lambda side, i: None if i is None else sides[side][i][2]
+        return [(rows[0][0], at(0, i), at(1, j), float(cer)) for i, j, cer in align(*([r[3] for r in side] for side in sides))]
 
-        a, b = (x.sort_values(order, kind="stable") if len(x) else x.reindex(columns=[doc, order, title]) for x in (mine, theirs))
-        pairs = align(a[title].fillna("").tolist(), b[title].fillna("").tolist())
-        key = (mine if len(mine) else theirs)[doc].iloc[0]
-        at = lambda frame, i: None if i is None else frame[order].iloc[i]
-        rows = [(key, at(a, i), at(b, j), float(r)) for i, j, r in pairs]
-        return pd.DataFrame(rows, columns=[doc, "got_pos", "truth_pos", "cer"], dtype=object)
-
-    document = got.schema[doc].dataType.simpleString()
-    schema = f"{doc} {document}, got_pos {kind}, truth_pos {kind}, cer double"
-    return _fresh(got, doc, order, title).cogroup(_fresh(truth, doc, order, title)).applyInPandas(run, schema)
+    held = _both(got, truth, doc, order, title)
+    kind, document = (held.schema[c].dataType.simpleString() for c in (order, doc))
+    return per_group(held, [doc], ["__side", order], run, f"{doc} {document}, got_pos {kind}, truth_pos {kind}, cer double")
 
 
 def sequential_matches(got: DataFrame, truth: DataFrame, doc: str, order: str, title: str, *, ahead: int = 6, most: float = 0.5) -> DataFrame:
     """Each truth entry in turn takes the first of the next ``ahead`` unused titles with a rate of at most ``most``."""
 
-    def run(mine, theirs):
-        import pandas as pd
-
-        a, b = (x.sort_values(order, kind="stable").reset_index(drop=True) if len(x) else x.reindex(columns=[doc, order, title]) for x in (mine, theirs))
-        rows, at = [], 0
-        for pos, text in zip(b[order], b[title].fillna(""), strict=True):
-            hit = next((i for i in range(at, min(len(a), at + ahead)) if rate(a[title].iloc[i] or "", text) <= most), None)
-            rows.append((b[doc].iloc[0], pos, None if hit is None else a[order].iloc[hit]))
-            at = at if hit is None else hit + 1
-        return pd.DataFrame(rows, columns=[doc, "truth_pos", "got_pos"], dtype=object)
-
-    kind, document = truth.schema[order].dataType.simpleString(), truth.schema[doc].dataType.simpleString()
-    return _fresh(got, doc, order, title).cogroup(_fresh(truth, doc, order, title)).applyInPandas(run, f"{doc} {document}, truth_pos {kind}, got_pos {kind}")
+    def run(rows: list[tuple]) -> list[tuple]:
+        mine, out, at = [r for r in rows if r[1] == 0], [], 0
+        for key, side, pos, text in rows:
+            if side:
+                hit = next((i for i in range(at, min(len(mine), at + ahead)) if rate(mine[i][3], text) <= most), None)
+                out.append((key, pos, None if hit is None else mine[hit][2]))
+                at = at if hit is None else hit + 1
+        return out
+
+    held = _both(got, truth, doc, order, title)
+    kind, document = (held.schema[c].dataType.simpleString() for c in (order, doc))
+    return per_group(held, [doc], ["__side", order], run, f"{doc} {document}, truth_pos {kind}, got_pos {kind}")
 
 
 def outline_score(pairs: DataFrame, doc: str, *, got_title: str, truth_title: str, got_page: str, truth_page: str, got_level: str, truth_level: str, most: float = 0.05) -> DataFrame:

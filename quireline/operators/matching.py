@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireline.functions.text import fuzzy_equal
-from quireline.operators.scans import ordered
+from quireline.functions.text import edit_limit, fuzzy_equal
+from quireline.operators.scans import backwards, ordered
 
 
 def first_match(left: DataFrame, right: DataFrame, key: list[str], order: str, value: str, *, out: str) -> DataFrame:
@@ -37,10 +37,33 @@ def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value:
 
 
 def fuzzy_join(titles: DataFrame, lines: DataFrame, key: list[str], title: str, line: str) -> DataFrame:
-    """Titles and lines of one key whose edit distance is within a fifth of the title's length (exact up to three characters)."""
+    """Titles and lines of one key whose edit distance is within a fifth of the title's length (exact up to three characters). For keys of few
+    rows, such as pages; ``similar_titles`` is for large ones."""
     return titles.join(lines, key).filter(fuzzy_equal(F.col(title), F.col(line)))
 
 
+def similar_titles(df: DataFrame, key: list[str], title: str) -> DataFrame:
+    """Pairs of different titles of one key, ``title`` and ``other``, whose edit distance is within a fifth of ``title``'s length (none up to
+    three characters). However many rows have a title, it counts once.
+
+    A title of n characters that may have k edits is cut into k + 1 parts of like size: one of them is whole in the other title, at most k
+    places off. So pairs meet on (key, n, number of the part, the part), and only those that meet are compared. The other title asks for all n
+    that its own length allows."""
+    once = df.filter(F.col(title).isNotNull()).select(*key, F.col(title).alias("title")).distinct()
+    limit, start = edit_limit(F.col("__n")), lambda i: F.floor(i * F.col("__n") / (F.col("__k") + 1)).cast("int")
+    part = F.explode(F.sequence(F.lit(0), F.col("__k"))).alias("__part")
+    asks = once.withColumn("__n", F.length("title")).withColumn("__k", limit).filter("__k > 0")
+    asks = asks.select(*key, "title", "__n", "__k", part).select(*key, "title", "__n", "__part", F.substring("title", start(F.col("__part")) + 1, start(F.col("__part") + 1) - start(F.col("__part"))).alias("__held"))
+    length = F.length("title")
+    told = once.select(*key, F.col("title").alias("other"), length.alias("__m"), F.explode(F.sequence(F.floor(length / 1.2).cast("int"), F.ceil(length * 1.25).cast("int"))).alias("__n"))
+    told = told.withColumn("__k", limit).filter((F.col("__k") > 0) & (F.abs(F.col("__m") - F.col("__n")) <= F.col("__k"))).select(*key, "other", "__m", "__n", "__k", part)
+    told = told.withColumn("__at", start(F.col("__part"))).withColumn("__size", start(F.col("__part") + 1) - F.col("__at"))
+    low, high = F.greatest(F.lit(0), F.col("__at") - F.col("__k")), F.least(F.col("__m") - F.col("__size"), F.col("__at") + F.col("__k"))
+    told = told.filter(low <= high).select(*key, "other", "__n", "__part", F.explode(F.array_distinct(F.transform(F.sequence(low, high), lambda p: F.substring("other", p + 1, F.col("__size"))))).alias("__held"))
+    met = asks.join(told, [*key, "__n", "__part", "__held"]).filter(F.col("title") != F.col("other")).select(*key, "title", "other").distinct()
+    return met.filter(fuzzy_equal(F.col("title"), F.col("other")))
+
+
 def with_pairs(lines: DataFrame, doc: str, page: str, order: str, line: str) -> DataFrame:
     """The lines of each page, and each two neighbouring lines as one: titles may wrap."""
     held = lines.withColumn("__next", F.lead(line).over(ordered([doc, page], order)))
@@ -69,7 +92,7 @@ def neighbour_spans(entries: DataFrame, doc: str, order: str, page: str, trusted
     """Rows that are not trusted, with ``low`` and ``high``: pages of the nearest trusted rows before and behind; spans over ``most`` pages go."""
     w = ordered(doc, order)
     own = F.when(trusted, F.col(page))
-    held = entries.withColumn("low", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("high", F.first(own, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    held = entries.withColumn("low", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("high", F.last(own, ignorenulls=True).over(backwards(doc, order).rowsBetween(Window.unboundedPreceding, -1)))
     return held.filter(~F.coalesce(trusted, F.lit(False)) & F.col("low").isNotNull() & F.col("high").isNotNull() & (F.col("high") >= F.col("low")) & (F.col("high") - F.col("low") <= most))
 
 

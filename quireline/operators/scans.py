@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FIRST, _HERE, _LAST = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
+_FIRST, _HERE = Window.unboundedPreceding, Window.currentRow
 
 
 def ordered(doc: str | list[str], *order):
     return Window.partitionBy(*([doc] if isinstance(doc, str) else doc)).orderBy(*order)
 
 
+def backwards(doc: str | list[str], *order: str):
+    """The same rows from the end: frames that reach to the end are worked out anew for each row, frames from the beginning are not."""
+    return ordered(doc, *(F.desc_nulls_last(o) for o in order))
+
+
 def level_clamp(df: DataFrame, doc: str, order: str, raw: str, *, out: str = "level") -> DataFrame:
     """Levels that start at 0 and rise by one at most. With i rows before, ``i + min(0, min over rows so far of (raw - i))``."""
     w = ordered(doc, order)
@@ -33,7 +38,7 @@ def level_violations(df: DataFrame, doc: str, order: str, level: str, *, out: st
 def inherit_pages(df: DataFrame, doc: str, order: str, page: str, *, out: str = "page_inherited", flag: str = "inherited") -> DataFrame:
     """A row without a page takes the next row's that has one, else the last row's before."""
     w = ordered(doc, order)
-    after = F.first(page, ignorenulls=True).over(w.rowsBetween(_HERE, _LAST))
+    after = F.last(page, ignorenulls=True).over(backwards(doc, order).rowsBetween(_FIRST, _HERE))
     before = F.last(page, ignorenulls=True).over(w.rowsBetween(_FIRST, _HERE))
     return df.withColumn(out, F.coalesce(after, before)).withColumn(flag, F.col(page).isNull() & F.col(out).isNotNull())
 
@@ -51,7 +56,7 @@ def run_starts(df: DataFrame, doc: str, value: str) -> DataFrame:
 
 def next_value(df: DataFrame, doc: str, order: str, value: str, *, out: str = "next_value") -> DataFrame:
     """The next non-null value behind a row."""
-    return df.withColumn(out, F.first(value, ignorenulls=True).over(ordered(doc, order).rowsBetween(1, _LAST)))
+    return df.withColumn(out, F.last(value, ignorenulls=True).over(backwards(doc, order).rowsBetween(_FIRST, -1)))
 
 
 def previous_value(df: DataFrame, doc: str, order: str, value: str, *, out: str = "previous_value") -> DataFrame:
@@ -81,18 +86,20 @@ def chain_clusters(df: DataFrame, doc: str, value: str, tolerance: float, *, out
 
 def anchor_clusters(df: DataFrame, doc: str, value: str, tolerance: float) -> DataFrame:
     """Per document and distinct value: the cluster (from 0) and its anchor. A new cluster begins where a value is over ``tolerance`` above
-    the first value of the current one, so chains do not creep. A fold over the document's distinct values."""
-    kind = df.schema[value].dataType.simpleString()
-    whole = df.filter(F.col(value).isNotNull()).groupBy(doc).agg(F.array_sort(F.collect_set(value)).alias("v"))
-    start = F.array().cast(f"array<struct<value:{kind},anchor:{kind},cluster:int>>")
+    the first value of the current one, so chains do not creep. Each document's distinct values are streamed in order."""
+    from quireline.operators.grouped import per_group
 
-    def step(done: Column, v: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        opens = last.isNull() | (v - last["anchor"] > tolerance)
-        number = F.coalesce(last["cluster"], F.lit(-1)) + opens.cast("int")
-        return F.concat(done, F.array(F.struct(v.alias("value"), F.when(opens, v).otherwise(last["anchor"]).alias("anchor"), number.alias("cluster"))))
+    held = df.filter(F.col(value).isNotNull()).select(F.col(doc), F.col(value).alias("value")).distinct()
 
-    return whole.select(doc, F.inline(F.aggregate("v", start, step)))
+    def run(rows: list[tuple]) -> list[tuple]:
+        out, anchor, number = [], None, -1
+        for key, v in rows:
+            if anchor is None or v - anchor > tolerance:
+                anchor, number = v, number + 1
+            out.append((key, v, anchor, number))
+        return out
+
+    return per_group(held, [doc], ["value"], run, held.withColumn("anchor", F.col("value") + 0).withColumn("cluster", F.lit(0)).select(doc, "value", F.col("value").alias("anchor"), "cluster").schema)
 
 
 def widest_cluster(df: DataFrame, doc: str, value: str, tolerance: float) -> DataFrame:
@@ -124,17 +131,21 @@ def rotate(df: DataFrame, doc: str, pos: str, focus: str, *, out: str = "queue")
 
 
 def rank_levels(df: DataFrame, doc: str, order: str, rank: str, *, out: str = "level") -> DataFrame:
-    """Depth of a stack that pops ranks not below the row's own: one fold over each document's ranks."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(rank).alias("rank"))))
-    none = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<int>").alias("levels"))
+    """Depth of a stack that pops ranks not below the row's own; the rows of each document are streamed in order."""
+    from quireline.operators.grouped import per_group
 
-    def step(acc: Column, row: Column) -> Column:
-        left = F.filter(acc["stack"], lambda r: r < row["rank"])
-        return F.struct(F.concat(left, F.array(row["rank"].cast("int"))).alias("stack"), F.concat(acc["levels"], F.array(F.size(left))).alias("levels"))
+    held = df.select(doc, order, rank)
 
-    whole = df.groupBy(doc).agg(rows.alias("__rows"))
-    folded = whole.withColumn("__l", F.aggregate("__rows", none, step, lambda acc: acc["levels"]))
-    return folded.select(doc, F.inline(F.arrays_zip(F.col("__rows.at").alias("at"), F.col("__rows.rank").alias("rank"), F.col("__l").alias("l")))).toDF(doc, order, rank, out)
+    def run(rows: list[tuple]) -> list[tuple]:
+        stack, made = [], []
+        for key, at, own in rows:
+            while stack and (own is None or stack[-1] is None or not stack[-1] < own):
+                stack.pop()
+            made.append((key, at, own, len(stack)))
+            stack.append(own)
+        return made
+
+    return per_group(held, [doc], [order], run, held.withColumn(out, F.lit(0)).schema)
 
 
 def longest_nondecreasing(df: DataFrame, doc: str, order: str, value: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Trees kept as preorder rows (document, position, level), where a level is at most one below the row before.
 
-Positions are consecutive from 0. Parents and block ends are windows: for each level, the last position so far and the next position. The
-number of levels is a parameter (rows below it have no parent), so nothing has to be looked up in the data first.
+Positions are consecutive from 0. Depth has no limit: a row's parent is the last row before it one level up, and its block ends at the first
+row behind it that closes its level. Both are as-of matches on (document, level), so that work grows with the rows only: a row closes the
+levels from its own to that of the row before it, and each of those was opened by one row.
 """
 
 from __future__ import annotations
@@ -9,38 +10,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireline.operators.grouped import per_group
+from quireline.operators.matching import as_of
 from quireline.operators.scans import ordered
 
-#: Levels that the windows hold; deeper rows are not expected.
-DEPTH = 16
-
 
 def _before(doc: str, pos: str):
     return ordered(doc, pos).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def parent(df: DataFrame, doc: str, pos: str, level: str, *, out: str = "parent", depth: int = DEPTH) -> DataFrame:
+def parent(df: DataFrame, doc: str, pos: str, level: str, *, out: str = "parent") -> DataFrame:
     """Position of the nearest earlier row one level up; null for level 0."""
-    last = F.array(*(F.max(F.when(F.col(level) == k, F.col(pos))).over(_before(doc, pos)) for k in range(depth)))
-    return df.withColumn(out, F.when(F.col(level) > 0, F.try_element_at(last, F.col(level).cast("int"))))
+    below = df.select(F.col(doc), (F.col(level) + 1).alias("__key"), F.col(pos), F.col(pos).alias("__p"))
+    return as_of(df.withColumn("__key", F.col(level) + 0), below, [doc, "__key"], pos, "__p", out=out).drop("__key")
 
 
-def ancestors(df: DataFrame, doc: str, pos: str, level: str, *, out: str = "ancestors", depth: int = DEPTH) -> DataFrame:
+def ancestors(df: DataFrame, doc: str, pos: str, level: str, *, out: str = "ancestors") -> DataFrame:
     """Positions from the root down to the parent."""
-    last = F.array(*(F.max(F.when(F.col(level) == k, F.col(pos))).over(_before(doc, pos)) for k in range(depth)))
-    return df.withColumn(out, F.slice(last, F.lit(1), F.col(level).cast("int")))
+    names = df.columns
+    where, at = names.index(pos), names.index(level)
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        path, made = [], []
+        for row in rows:
+            del path[row[at] :]
+            made.append((*row, list(path)))
+            path.append(row[where])
+        return made
 
+    return per_group(df, [doc], [pos], run, df.withColumn(out, F.array(F.col(pos))).schema)
 
-def block_end(df: DataFrame, doc: str, pos: str, level: str, *, out: str = "block_end", depth: int = DEPTH) -> DataFrame:
+
+def block_end(df: DataFrame, doc: str, pos: str, level: str, *, out: str = "block_end") -> DataFrame:
     """Position of the first later row that is not below this one, else the number of rows."""
-    after = ordered(doc, pos).rowsBetween(1, Window.unboundedFollowing)
-    ends = F.array(*(F.min(F.when(F.col(level) <= k, F.col(pos))).over(after) for k in range(depth)))
-    return df.withColumn(out, F.coalesce(F.try_element_at(ends, (F.col(level) + 1).cast("int")), F.count("*").over(Window.partitionBy(doc))))
+    held = df.withColumn("__was", F.lag(level).over(ordered(doc, pos))).withColumn("__n", F.count("*").over(Window.partitionBy(doc)))
+    closed = held.filter(F.col("__was") >= F.col(level)).select(doc, F.explode(F.sequence(F.col(level), F.col("__was"))).alias("__key"), (1 - 2 * F.col(pos)).alias("__at"), F.col(pos).alias("__end"))
+    rows = held.drop("__was").withColumn("__key", F.col(level) + 0).withColumn("__at", -2 * F.col(pos))
+    found = as_of(rows, closed, [doc, "__key"], "__at", "__end", out=out)
+    return found.withColumn(out, F.coalesce(out, "__n")).drop("__key", "__at", "__n")
 
 
-def links(df: DataFrame, doc: str, pos: str, level: str, *, depth: int = DEPTH) -> DataFrame:
+def links(df: DataFrame, doc: str, pos: str, level: str) -> DataFrame:
     """parent, block_end, descendants, first_child, next_sibling, previous_sibling (positions or null)."""
-    held = block_end(parent(df, doc, pos, level, depth=depth), doc, pos, level, depth=depth)
+    held = block_end(parent(df, doc, pos, level), doc, pos, level)
     held = held.withColumn("descendants", F.col("block_end") - F.col(pos) - 1)
     held = held.withColumn("first_child", F.when(F.col("descendants") > 0, F.col(pos) + 1))
     siblings = Window.partitionBy(doc, F.coalesce("parent", F.lit(-1)), level).orderBy(pos)
@@ -74,12 +86,16 @@ def delete_blocks(df: DataFrame, doc: str, pos: str, chosen: Column, *, end: str
     return left.withColumn(pos, F.row_number().over(ordered(doc, pos)).cast("long") - 1)
 
 
-def delete_rows(df: DataFrame, doc: str, pos: str, level: str, chosen: Column, *, depth: int = DEPTH) -> DataFrame:
+def delete_rows(df: DataFrame, doc: str, pos: str, level: str, chosen: Column) -> DataFrame:
     """Without the chosen rows only; what was below moves up by the number of deleted rows above it."""
-    picked = df.withColumn("__x", chosen)
-    over = ancestors(picked, doc, pos, level, out="__a", depth=depth).withColumn("__all", F.collect_list(F.when(F.col("__x"), F.col(pos))).over(Window.partitionBy(doc)))
-    lifted = over.withColumn(level, F.col(level) - F.size(F.array_intersect("__a", "__all"))).filter(~F.col("__x")).drop("__x", "__a", "__all")
-    return lifted.withColumn(pos, F.row_number().over(ordered(doc, pos)).cast("long") - 1)
+    held = block_end(df.withColumn("__x", F.coalesce(chosen, F.lit(False))), doc, pos, level, out="__end")
+    # a deleted row counts from behind itself to the end of its block
+    marks = F.inline(F.array(F.struct((2 * F.col(pos) + 1).alias("__at"), F.lit(1).alias("__d")), F.struct((2 * F.col("__end") - 1).alias("__at"), F.lit(-1).alias("__d"))))
+    steps = held.filter("__x").select(doc, marks)
+    both = held.drop("__end").withColumn("__at", 2 * F.col(pos)).withColumn("__d", F.lit(0)).unionByName(steps, allowMissingColumns=True)
+    above = F.sum("__d").over(ordered(doc, "__at").rowsBetween(Window.unboundedPreceding, 0))
+    left = both.withColumn("__up", above).filter("NOT __x").withColumn(level, F.col(level) - F.col("__up")).drop("__x", "__at", "__d", "__up")
+    return left.withColumn(pos, F.row_number().over(ordered(doc, pos)).cast("long") - 1)
 
 
 def shift_pages(df: DataFrame, doc: str, pos: str, chosen: Column, delta: int, *, manual: str = "manual_page", shift: str = "section_shift", printed: str = "printed_page", end: str = "block_end") -> DataFrame:

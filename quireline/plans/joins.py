@@ -13,16 +13,13 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ascii(text):
-    """Edit distances are held against SQL that counts bytes."""
-    return F.regexp_replace(text, "[^ -~]", "")
-
-
 def title_fuzzy(spark, sf_dir):
-    """Pairs of parts of one brand and size whose names are within the edit limit."""
-    parts = _table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name")
-    others = parts.select("p_brand", "p_size", F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"))
-    return matching.fuzzy_join(parts, others, ["p_brand", "p_size"], "p_name", "other_name").filter("p_partkey < other").select("p_partkey", "other")
+    """Pairs of different names of one brand's parts that are within the edit limit of the first, with how many parts have each."""
+    parts = _table(spark, sf_dir, "part").select("p_brand", "p_name")
+    counts = parts.groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
+    named = lambda name, n: counts.select("p_brand", F.col("p_name").alias(name), F.col("n").alias(n))
+    pairs = matching.similar_titles(parts, ["p_brand"], "p_name")
+    return pairs.join(named("title", "n_parts"), ["p_brand", "title"]).join(named("other", "n_others"), ["p_brand", "other"]).select("p_brand", "title", "n_parts", "other", "n_others")
 
 
 def range_window(spark, sf_dir):
@@ -88,15 +85,16 @@ def digit_slip(spark, sf_dir):
 
 
 def cer_score(spark, sf_dir):
+    """Error rate of each benchmark text as a reading of the one with the next number."""
     items = _table(spark, sf_dir, "benchmark")
-    after = F.lead("text").over(Window.orderBy("item_id"))
-    return items.select("item_id", F.substring(_ascii("text"), 1, 60).alias("a"), F.substring(_ascii(after), 1, 60).alias("b")).filter("b IS NOT NULL").select("item_id", F.round(T.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return items.join(after, "item_id").select("item_id", F.round(T.error_rate(F.col("text"), F.col("next")), 6).alias("cer"))
 
 
 def _outlines(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(_ascii("text"), 1, 24).alias("title"))
-    truth = turns
-    got = turns.filter("turn % 5 <> 3").withColumn("title", F.when(F.col("turn") % 2 == 0, F.concat("title", F.lit("x"))).otherwise(F.col("title")))
+    """The first line of each turn is a title; every fifth is lost, and every second gets a letter too many."""
+    truth = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring_index("text", "\n", 1).alias("title"))
+    got = truth.filter("turn % 5 <> 3").withColumn("title", F.when(F.col("turn") % 2 == 0, F.concat("title", F.lit("x"))).otherwise(F.col("title")))
     return got, truth
 
 
@@ -133,15 +131,25 @@ def outline_difference(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (title_fuzzy, range_window, first_title, unique_line, neighbour_range, as_of_price, containment_dedupe, column_histogram, hist_percentile, mode_tie, theil_sen, digit_slip, cer_score, align_entries, sequential_matches, outline_score, suite_summary, outline_difference)}
 
-_SCORES = """
-a AS (SELECT conv_id, turn, substr(t, 1, 24) AS truth_title, turn * 2 + CASE WHEN turn % 7 = 5 THEN 1 ELSE 0 END AS truth_page, turn % 4 % 3 AS truth_level,
-  CASE WHEN turn % 5 <> 3 THEN substr(t, 1, 24) || CASE WHEN turn % 2 = 0 THEN 'x' ELSE '' END END AS got_title, turn * 2 AS got_page, turn % 3 AS got_level FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM conversations)),
+#: Edit distances in SQL count bytes, so there each letter beyond ASCII is one control character instead.
+_LETTERS = "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜßàáâäçèéêëíîïñóôöùúûüœæ¿¡"
+_ONE_BYTE = "[" + ", ".join(f"chr({n})" for n in [*range(1, 9), 11, 12, *range(14, 32), 127, *map(ord, "^`{|}~_@#%&*=+<>")][: len(_LETTERS)]) + "]"
+
+
+def _bytes(text):
+    return f"translate({text}, '{_LETTERS}', array_to_string({_ONE_BYTE}, ''))"
+
+
+_SCORES = f"""
+a AS (SELECT conv_id, turn, t AS truth_title, turn * 2 + CASE WHEN turn % 7 = 5 THEN 1 ELSE 0 END AS truth_page, turn % 4 % 3 AS truth_level,
+  CASE WHEN turn % 5 <> 3 THEN t || CASE WHEN turn % 2 = 0 THEN 'x' ELSE '' END END AS got_title, turn * 2 AS got_page, turn % 3 AS got_level FROM (SELECT conv_id, turn, {_bytes("split_part(text, chr(10), 1)")} AS t FROM conversations)),
 c AS (SELECT *, CASE WHEN got_title IS NULL THEN 1.0 WHEN length(truth_title) = 0 THEN CASE WHEN length(got_title) = 0 THEN 0.0 ELSE 1.0 END ELSE least(1.0, levenshtein(got_title, truth_title) / length(truth_title)) END AS cer FROM a),
 scores AS (SELECT conv_id, count(*) AS entries, count(got_title) AS found, count(*) FILTER (got_title IS NOT NULL AND got_page = truth_page AND cer <= 0.05) AS correct, 0::BIGINT AS extras, round(avg(cer), 6) AS mean_cer,
   round(count(*) FILTER (got_title IS NOT NULL AND got_page = truth_page) / count(*), 6) AS page_share, round(count(*) FILTER (got_title IS NOT NULL AND got_level = truth_level) / count(*), 6) AS level_share, correct = entries AS exact FROM c GROUP BY conv_id)"""
 
 ORACLES = {
-    "title_fuzzy": "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= CASE WHEN length(a.p_name) <= 3 THEN 0 ELSE floor(length(a.p_name) * 0.2::DOUBLE) END",
+    "title_fuzzy": """WITH n AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2) SELECT a.p_brand, a.p_name AS title, a.n AS n_parts, b.p_name AS other, b.n AS n_others
+FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name <> b.p_name WHERE levenshtein(a.p_name, b.p_name) <= CASE WHEN length(a.p_name) <= 3 THEN 0 ELSE floor(length(a.p_name) * 0.2::DOUBLE) END""",
     "range_window": """SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey, o_custkey, (o_orderdate::DATE - DATE '1970-01-01') % 365 AS o_day FROM orders) o
 JOIN (SELECT DISTINCT user_id, event_id % 365 AS e_day FROM events) e ON e.user_id = o.o_custkey AND abs(o_day - e_day) <= 3 GROUP BY 1""",
     "first_title": "SELECT o_orderkey AS l_orderkey, (SELECT l_partkey FROM lineitem WHERE l_orderkey = o_orderkey ORDER BY l_linenumber, l_partkey LIMIT 1) AS first_part FROM orders",
@@ -158,7 +166,7 @@ SELECT * FROM s WHERE high >= low AND high - low <= 12""",
 SELECT a.l_orderkey, floor(median((b.y - a.y) / (b.k - a.k)) * 10 + 0.5)::BIGINT AS slope, count(*) AS n_pairs FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.k < b.k GROUP BY 1""",
     "digit_slip": """WITH p AS (SELECT o_orderkey, (o_orderkey % 997)::VARCHAR AS e, (CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 997) // 10 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 997 + 3 ELSE o_orderkey % 991 END)::VARCHAR AS r FROM orders)
 SELECT o_orderkey, r <> e AND ((length(r) = length(e) - 1 AND list_contains(list_transform(range(1, length(e) + 1), lambda i: substr(e, 1, (i - 1)::INT) || substr(e, (i + 1)::INT)), r)) OR (length(r) = length(e) AND length(e) >= 2 AND left(r, length(r)::INT - 1) = left(e, length(e)::INT - 1))) AS slip FROM p""",
-    "cer_score": "SELECT item_id, round(least(1.0, levenshtein(a, b) / length(b)), 6) AS cer FROM (SELECT item_id, substr(t, 1, 60) AS a, substr(lead(t) OVER (ORDER BY item_id), 1, 60) AS b FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)) WHERE b IS NOT NULL",
+    "cer_score": f"SELECT a.item_id, round(least(1.0, levenshtein(a.t, b.t) / length(b.t)), 6) AS cer FROM (SELECT item_id, {_bytes('text')} AS t FROM benchmark) a JOIN (SELECT item_id, {_bytes('text')} AS t FROM benchmark) b ON b.item_id = a.item_id + 1",
     "outline_score": f"WITH {_SCORES} SELECT * FROM scores",
     "suite_summary": f"""WITH {_SCORES} SELECT count(*) AS documents, count(*) FILTER (exact) AS exact, count(*) FILTER (page_share < 0.97 OR level_share < 0.95 OR mean_cer > 0.03) AS missed, round(avg(mean_cer), 6) AS mean_cer, round(avg(page_share), 6) AS page_share, round(avg(level_share), 6) AS level_share,
 CASE WHEN count(*) FILTER (page_share < 0.97 OR level_share < 0.95 OR mean_cer > 0.03) = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM scores""",

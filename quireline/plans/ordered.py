@@ -67,6 +67,23 @@ def tree_lift(spark, sf_dir):
     return tree.delete_rows(_outline(spark, sf_dir), "conv_id", "pos", "level", F.col("turn") % 5 == 2).select("conv_id", "turn", "pos", "level")
 
 
+def _deep(spark, sf_dir):
+    """Events of a user as rows of a tree of up to 40 levels."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("n"))
+    held = events.withColumn("pos", F.col("n") - 1).withColumn("raw", F.when(F.col("event_id") % 7 == 0, F.floor(F.col("n") % 40 / 2)).otherwise(F.col("n") % 40))
+    return scans.level_clamp(held, "user_id", "pos", "raw").withColumn("level", F.col("level").cast("long"))
+
+
+def tree_deep(spark, sf_dir):
+    held = tree.links(_deep(spark, sf_dir), "user_id", "pos", "level")
+    return held.select("user_id", "pos", "level", "parent", "block_end", "first_child", "next_sibling", "previous_sibling")
+
+
+def tree_deep_lift(spark, sf_dir):
+    return tree.delete_rows(_deep(spark, sf_dir), "user_id", "pos", "level", F.col("event_id") % 3 == 1).select("user_id", "event_id", "pos", "level")
+
+
 def shift_block(spark, sf_dir):
     held = _blocks(spark, sf_dir).withColumn("printed_page", F.when(F.col("turn") % 3 > 0, F.col("turn") * 10)).withColumn("manual_page", F.when(F.col("turn") % 4 == 3, F.col("turn") + 100)).withColumn("section_shift", F.lit(0).cast("long"))
     return tree.shift_pages(held, "conv_id", "pos", F.col("turn") % 4 == 1, 3).select("conv_id", "pos", "manual_page_new", "section_shift_new")
@@ -194,10 +211,16 @@ def spread_pick(spark, sf_dir):
     return votes.spread_pick(orders, "o_custkey", "o_orderkey")
 
 
-_SCANS = (level_clamp, level_violation, tree_parent, tree_ancestors, tree_block_end, tree_links, tree_visible, tree_heads, tree_delete, tree_lift, shift_block, calibrate_from, page_inherit, forward_fill, neighbour_values, behind_last, run_collapse, order_breaks, lnds_length, lnds_members, rank_stack, chain_cluster, anchor_cluster, equal_edge_cluster, gap_detect, review_queue, column_reading_order, offset_vote, offset_decision, roman_vote, sample_pages, spread_pick)
+_SCANS = (level_clamp, level_violation, tree_parent, tree_ancestors, tree_block_end, tree_links, tree_visible, tree_heads, tree_delete, tree_lift, tree_deep, tree_deep_lift, shift_block, calibrate_from, page_inherit, forward_fill, neighbour_values, behind_last, run_collapse, order_breaks, lnds_length, lnds_members, rank_stack, chain_cluster, anchor_cluster, equal_edge_cluster, gap_detect, review_queue, column_reading_order, offset_vote, offset_decision, roman_vote, sample_pages, spread_pick)
 QUERIES = {f.__name__: f for f in _SCANS}
 
 _PAGED = "paged AS (SELECT user_id, event_id, CASE WHEN (props->>'$.k')::BIGINT % 3 > 0 THEN (props->>'$.k')::BIGINT END AS page FROM events)"
+_DEEP = """
+numbered AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+raws AS (SELECT user_id, event_id, n - 1 AS pos, CASE WHEN event_id % 7 = 0 THEN n % 40 // 2 ELSE n % 40 END AS raw FROM numbered),
+outline AS (SELECT user_id, event_id, pos, pos + least(0, min(raw - pos) OVER (PARTITION BY user_id ORDER BY pos)) AS level FROM raws),
+tree AS (SELECT o.*, (SELECT max(p.pos) FROM outline p WHERE p.user_id = o.user_id AND p.pos < o.pos AND p.level = o.level - 1) AS parent,
+  coalesce((SELECT min(p.pos) FROM outline p WHERE p.user_id = o.user_id AND p.pos > o.pos AND p.level <= o.level), (SELECT count(*) FROM outline p WHERE p.user_id = o.user_id)) AS block_end FROM outline o)"""
 _COVER = "SELECT 1 FROM tree c WHERE c.conv_id = o.conv_id AND c.pos < o.pos AND o.pos < c.block_end AND"
 
 ORACLES = {
@@ -213,6 +236,9 @@ ORACLES = {
     "tree_heads": f"WITH {_OUTLINE} SELECT conv_id, pos, level FROM tree o WHERE o.turn % 3 = 1 AND NOT EXISTS ({_COVER} c.turn % 3 = 1)",
     "tree_delete": f"WITH {_OUTLINE} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, level FROM tree o WHERE o.turn % 5 <> 2 AND NOT EXISTS ({_COVER} c.turn % 5 = 2)",
     "tree_lift": f"WITH {_OUTLINE} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, level - (SELECT count(*) FROM tree c WHERE c.conv_id = o.conv_id AND c.pos < o.pos AND o.pos < c.block_end AND c.turn % 5 = 2) AS level FROM tree o WHERE o.turn % 5 <> 2",
+    "tree_deep": f"""WITH {_DEEP} SELECT user_id, pos, level, parent, block_end, CASE WHEN block_end > pos + 1 THEN pos + 1 END AS first_child, lead(pos) OVER w AS next_sibling, lag(pos) OVER w AS previous_sibling
+FROM tree WINDOW w AS (PARTITION BY user_id, parent, level ORDER BY pos)""",
+    "tree_deep_lift": f"WITH {_DEEP} SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS pos, level - (SELECT count(*) FROM tree c WHERE c.user_id = o.user_id AND c.pos < o.pos AND o.pos < c.block_end AND c.event_id % 3 = 1) AS level FROM tree o WHERE o.event_id % 3 <> 1",
     "shift_block": f"""WITH {_OUTLINE}, marked AS (SELECT conv_id, pos, turn, (turn % 4 = 1 OR EXISTS ({_COVER} c.turn % 4 = 1)) AS inside FROM tree o)
 SELECT conv_id, pos, CASE WHEN turn % 4 = 3 THEN turn + 100 + CASE WHEN inside THEN 3 ELSE 0 END END AS manual_page_new, CASE WHEN inside AND turn % 4 <> 3 AND turn % 3 > 0 THEN 3 ELSE 0 END::BIGINT AS section_shift_new FROM marked""",
     "calibrate_from": f"WITH {_OUTLINE} SELECT conv_id, pos, raw + CASE WHEN pos >= 3 AND turn % 2 = 0 THEN 7 ELSE 0 END AS section_shift FROM outline",
