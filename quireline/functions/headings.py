@@ -50,7 +50,7 @@ class Heading:
 
 NONE = Heading()
 _N = f"[{CHINESE}]"
-_READ = re.compile(f"({_N}{{1,8}})|([0-9OolI]{{1,5}})|([ivxlcdmIVXLCDM]{{1,8}})(?![A-Za-z])")
+_READ = re.compile(f"({_N}{{1,8}})|([0-9OolI]{{1,5}})|([ivxlcdmIVXLCDMⅠ-ⅿ]{{1,8}})(?![A-Za-z])")
 
 
 def _number(text: str) -> tuple[int, int, bool] | None:
@@ -64,7 +64,7 @@ def _number(text: str) -> tuple[int, int, bool] | None:
     if m[2] and re.search("[0-9]", m[2]):
         plain = "".join({"O": "0", "o": "0", "l": "1", "I": "1"}.get(c, c) for c in m[2])
         return int(plain), m.end(), plain != m[2]
-    roman = re.match("[ivxlcdmIVXLCDM]{1,8}(?![A-Za-z])", text)
+    roman = re.match("[ivxlcdmIVXLCDMⅠ-ⅿ]{1,8}(?![A-Za-z])", text)
     value = roman and roman_value(roman[0])
     return (value, roman.end(), False) if value else None
 

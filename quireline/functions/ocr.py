@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from quireline.functions.numerals import roman_value
 from quireline.functions.tokens import CJK
@@ -16,6 +16,11 @@ from quireline.functions.tokens import CJK
 #: Leaders, separators and stray closing marks in recognised lines.
 LEADERS = ".·•…‥⋯-—–―‒_~～․‧∙・･⋅。．﹒－＿︙∶"
 SEPARATORS, STRAY, DASHES = ",，:：;；'\"`‘’“”", ".,;:'\"`)]}|»›）】」』。，、’”", "-–—~～－‒"
+#: Decoration around a number that stands alone, words and signs that make a number part of a heading, and strokes read for i.
+DECORATION = "-—–―‒·•・.|[](){}（）〔〕<>《》【】〈〉~～*_－…⋯：:/"
+CHAPTER_WORDS = set("chapter section part vol vol. volume lesson unit lecture § 第 figure fig. table appendix book no. article".split())
+CHAPTER_SIGNS = "章节節篇部讲講课課卷回编編期年月日条項项图表号"
+STROKES = {"1": "i", "l": "i", "I": "i", "|": "i", "!": "i", "f": "i", "j": "i", "í": "i", "ì": "i", "V": "v", "X": "x", "i": "i", "v": "v", "x": "x", "L": "l"}
 _DIGITS = {0xFF10 + i: 0x30 + i for i in range(10)}
 _NOISE = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _N = "[0-9OolI]{1,4}"
@@ -67,47 +72,89 @@ class Trailing:
     abutting: bool
 
 
+_TOKEN = re.compile(f"(?:[0-9０-９OolIivxcdmVXLCDM]|(?<=[0-9０-９])[{re.escape(DASHES)}](?=[0-9０-９]))+$")
+_BETWEEN = f"[\\s{re.escape(SEPARATORS + LEADERS)}]"
+_SPACED = re.compile(f"({_BETWEEN}+)([0-9０-９]{{1,2}}) ([0-9０-９]{{1,2}})$")
+
+
+def _led(between: str) -> bool:
+    """Whether there are leaders in it: two marks, or one of three points."""
+    return sum(c in LEADERS for c in between) >= 2 or any(c in "…⋯‥" for c in between)
+
+
 def split_trailing(line: str) -> Trailing | None:
-    """Title and number at the end of a recognised line; capital Roman numerals only behind leaders."""
-    body = line.rstrip().rstrip(STRAY + " ")
-    m = re.search(f"([0-9０-９OolI]+(?:[{re.escape(DASHES)}][0-9０-９OolI]+)?|[ivxlcdmIVXLCDM]+)$", body)
+    """Title and number at the end of a recognised line. Between them are leaders, white space or separators, or nothing where arabic digits follow
+    an ideograph. Capital Roman numerals count behind leaders or alone; what ends a section's number or a word does not count."""
+    if line.endswith("j"):
+        # i behind leaders
+        found = split_trailing(line[:-1] + "i")
+        return replace(found, number=replace(found.number, noisy=True)) if found and found.leader and found.number.text == "i" else None
+    body, strays = line.rstrip(), 0
+    while body and body[-1] in STRAY and strays < 2:
+        body, strays = body[:-1].rstrip(), strays + 1
+    m = _TOKEN.search(body)
     if not m:
         return None
-    before = body[: m.start()]
-    led = re.search(f"(?:[{re.escape(LEADERS)}]\\s*){{2,}}$|[…⋯]\\s*$", before)
-    number = parse_token(m[1], noise_only=bool(led), upper_roman=bool(led))
-    if number is None or (before and re.match("[A-Za-z0-9]", before[-1])):
+    token, before = m[0], body[: m.start()]
+    if (wide := _SPACED.search(body)) and _led(wide[1]) and (number := parse_token(wide[2] + wide[3])) and number.kind == "arabic":
+        return Trailing(body[: wide.start()].strip(), number, True, False)
+    between = re.search(f"{_BETWEEN}*$", before)[0]
+    title = before[: len(before) - len(between)]
+    led, apart, alone = _led(between), any(c.isspace() or c in SEPARATORS for c in between), not title
+    marks = sum(c in LEADERS for c in between)
+    abutting = bool(title) and not between
+    latin = bool(title) and re.match("[A-Za-z0-9０-９]", title[-1])
+    if (latin and marks == 1 and not apart) or (abutting and (latin or not title[-1].isalpha())):
+        return None
+    number = parse_token(token, noise_only=led or (alone and not between and len(token) == 1 and token != "I"))
+    if number is None:
         return None
-    abutting = bool(before) and not before[-1].isspace() and not led
-    if number.kind == "roman" and abutting:
+    if number.kind == "roman" and (abutting or (number.upper and not (led or alone and not between)) or not (led or apart or alone and not between)):
         return None
-    return Trailing(strip_leaders(before).strip(), number, bool(led), abutting)
+    if number.noisy and not led and not (alone and not between) and not re.search("[0-9０-９]", token):
+        return None
+    return Trailing(title.strip(), number, led, abutting)
 
 
 def folio(line: str) -> Number | None:
-    """A number that stands alone, perhaps decorated (- 12 -, (iv), page 12, 第12页)."""
-    core = line.strip().strip("-—–·•.*()（）[]【】~～_|/ ")
-    core = re.sub("^(?:page|p\\.?|第)\\s*|\\s*页$", "", core, flags=re.I)
-    return parse_token(core.strip(), noise_only=True)
-
-
-def folio_candidates(line: str) -> list[Number]:
-    """Numbers at either end of a running head that are not part of a heading's numbering."""
-    text, out = line.strip(), []
-    if alone := folio(text):
-        return [alone]
-    if (m := re.match("([0-9０-９]{1,4}|[ivxlc]+)(?=\\s|[^\\W\\d_])", text)) and not re.match(r"[0-9０-９]+[.、)）章节]", text):
-        number = parse_token(m[1])
-        out += [number] if number else []
-    if (m := re.search("(?<![0-9.])([0-9０-９]{1,4}|(?<=\\s)[ivxlc]+)$", text)) and not re.search(r"(?:chapter|part|section|fig\.?|table|第)\s*[0-9０-９ivxlc]+$", text, re.I):
-        number = parse_token(m[1])
-        out += [number] if number and number not in out else []
-    return out
-
-
-def roman_lookalike(text: str) -> int | None:
-    """Value of a Roman numeral of ones that were read as strokes."""
-    return roman_value(re.sub("[1lI|!fj]", "i", text.lower()))
+    """A number that stands alone, perhaps decorated (- 12 -, (iv), Page 12, 第12页); white space inside it does not matter."""
+    core = re.sub("[页頁]$", "", re.sub(r"^(?:Page|PAGE|page|P\.|p\.|第)", "", line.strip()))
+    return parse_token(re.sub(r"\s", "", core.strip(DECORATION + " \t\n\r\u3000")))
+
+
+def _glued(word: str) -> list[int]:
+    """Digits at either end of a word of ideographs."""
+    digits = "([0-9０-９]{1,4})"
+    back = re.search(f"[^\x00-\x7f第{CHAPTER_SIGNS}０-９]{digits}$", word)
+    front = re.match(f"{digits}[^\x00-\x7f{CHAPTER_SIGNS}０-９]", word)
+    return [int(m[1]) for m in (back, front) if m and int(m[1])]
+
+
+def folio_candidates(line: str) -> list[tuple[int, bool]]:
+    """(value, whether it is all of the line) of the arabic numbers at the ends of a running head that are no part of a heading's numbering."""
+    alone = folio(line)
+    if alone and alone.kind == "arabic":
+        return [(alone.value, True)]
+    words = line.split()
+    if len(words) < 2:
+        return [(v, False) for w in words for v in _glued(w)]
+    plain = lambda w: (n := parse_token(w)) and n.kind == "arabic" and "-" not in n.text and n.value
+    out = []
+    if (value := plain(words[0])) and words[1][0] not in CHAPTER_SIGNS:
+        out.append((value, False))
+    if (value := plain(words[-1])) and words[-2].lower() not in CHAPTER_WORDS and not words[-2].endswith("第"):
+        out.append((value, False))
+    return out or [(v, False) for w in (words[-1], words[0]) for v in _glued(w)]
+
+
+def roman_lookalike(text: str) -> Number | None:
+    """A small Roman numeral to 40 whose thin strokes were read as other marks; leaders and decoration around it are left out."""
+    core = re.sub(r"\s", "", text).strip(DECORATION + LEADERS)
+    if not 0 < len(core) <= 7 or any(c not in STROKES for c in core):
+        return None
+    plain = "".join(STROKES[c] for c in core)
+    value = roman_value(plain)
+    return Number(value, "roman", plain, noisy=plain != core.lower()) if value and value <= 40 else None
 
 
 def normalized(title: str) -> str:
@@ -146,13 +193,38 @@ def unstable(title: str, others: list[str]) -> bool:
     return bool(others) and all(letters(o) != letters(title) for o in others)
 
 
+_ORDINAL = re.compile("(第[一二三四五六七八九十百千零〇两0-9０-９]+(?:部分|[章节節篇部讲講课課编編卷回]))[\\s.,，．、:：]*(?=.)", re.S)
+
+
 def clean_title(title: str) -> str:
-    """Bullets and noise in front, a faint stroke before a numbering, and one blank behind 第X章."""
-    out = re.sub(r"^[\s•·▪■□◆◇●○►▶※*'`,，.。:：-]+(?=\S)", "", title)
-    out = re.sub("^一(?=第)", "", out)
-    return re.sub(r"^(第\S{1,6}?[章节篇编])\s*(?=\S)", r"\1 ", out).strip()
+    """Without bullets and the specks in front, with 一 for a dash in front of 、, one blank behind 第X章, and no leaders at the end."""
+    text = title.replace("•", " ")
+    text = re.sub("^[-—–_‐―](?=、)", "一", text).lstrip(".．·•・。,，'`‘’_:;|¦ \t\n\r\x0b\x0c\u3000")
+    if m := _ORDINAL.match(text):
+        text = f"{m[1]} {text[m.end() :]}"
+    return re.sub(" {2,}", " ", strip_leaders(text))
+
+
+MISREAD_TAIL = re.compile("[0-9ivxlIVXL×|!Oo]{1,5}")
+
+
+def drop_misread_tail(title: str, words: list[tuple[str, float]], column: float) -> tuple[str, str] | None:
+    """(title, tail) without the last words that can only be a misread page number: up to five marks each, not all letters, and printed at
+    ``column`` or right of it. ``words``: the line's words and where each begins."""
+    rest, tail, left = title.strip(), [], list(words)
+    while " " in rest and sum(map(len, tail)) < 6:
+        head, _, last = rest.rpartition(" ")
+        at = next((i for i in range(len(left) - 1, -1, -1) if left[i][0] == last), None)
+        if not MISREAD_TAIL.fullmatch(last) or last.isalpha() or at is None or left[at][1] < column:
+            break
+        rest, tail, left = head.strip(), [last, *tail], left[:at]
+    rest = strip_leaders(rest)
+    return (rest, " ".join(tail)) if tail and rest else None
 
 
 def trailing_digits(title: str) -> tuple[str, int | None]:
-    m = re.fullmatch(r"(.*\S)\s+([0-9]{1,3})", title)
-    return (m[1], int(m[2])) if m else (title, None)
+    """(title without it, number) of one to three digits that end a title as a group of their own, with blanks between them or not."""
+    m = re.fullmatch(r"(.*?)((?: *[0-9]){1,3}) *", title)
+    if not m or not m[1] or " " not in title[len(m[1]) :] or re.search(r"[\d.A-Za-z]$", m[1]):
+        return title, None
+    return m[1].strip(), int(m[2].replace(" ", ""))

@@ -76,6 +76,7 @@ _BRACKET = re.compile(r"[(\[{<【「《〔]\s*(?:([0-9]{1,5})|([ivxlcdm]{1,15}))
 _PREFIXED = re.compile(r"(?<=[\s" + _L + r"])([A-HJ-NP-Z])[-–]?([0-9]{1,4})$")
 _RANGE = re.compile(r"([0-9]{1,5})\s*[" + _DASH + r"至到]\s*[0-9]{1,6}$")
 _RUN = re.compile(r"[0-9OolI|]+$")
+_WORD = re.compile(r"(?<![A-Za-z])([0-9OolI|ivxcdmVXLCDM]+)[" + _DASH + r"][0-9OolI|ivxcdmVXLCDM" + _DASH + r"]*$")
 _ROMAN = re.compile(r"[ivxlcdmIVXLCDMⅠ-ⅿ]+$")
 _LOOSE = re.compile(r"(?:[" + _L + r"]\s*){2,}([0-9A-Za-z|]{2,5})$")
 _POINT = re.compile(r"(?<=\s)([0-9])\.([0-9])$")
@@ -91,6 +92,8 @@ def _arabic(line: str) -> tuple[Page, int] | None:
     if not (m := _RUN.search(line)):
         return None
     run, at = m[0], m.start()
+    if (word := _WORD.search(line)) and not re.fullmatch(r"[0-9OolI|]+", word[1]):
+        return None  # a word of letters that could be numerals, and a number that a hyphen joins to it
     if not re.search("[0-9]", run):
         return None
     if at and re.match("[A-Za-z]", line[at - 1]):

@@ -73,9 +73,9 @@ def test_recognised_numbers():
     assert (got.title, got.number.value, got.leader, got.abutting) == ("绪论", 12, True, False)
     assert O.split_trailing("绪论12").abutting and O.split_trailing("World War II") is None and O.split_trailing("Hello12") is None
     assert O.folio("- 12 -").value == 12 and O.folio("第12页").value == 12 and O.folio("12 x") is None
-    assert [n.value for n in O.folio_candidates("12 The title")] == [12]
+    assert O.folio_candidates("12 The title") == [(12, False)] and O.folio_candidates("- 12 -") == [(12, True)]
     assert O.folio_candidates("Chapter 3") == [] and O.folio_candidates("1.2 Scope") == []
-    assert O.roman_lookalike("1l|") == 3
+    assert O.roman_lookalike("... 1l!").value == 3 and O.roman_lookalike("12") is None
 
 
 def test_readings():
