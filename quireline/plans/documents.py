@@ -60,8 +60,9 @@ def printed_toc(spark, sf_dir):
 
 def outline_policy(spark, sf_dir):
     """Which documents' outlines may be written, with the reason where not."""
-    entries = parse.printed_toc(_toc_lines(spark, sf_dir), "doc_id", line_no="line_no", text="text")
-    docs = entries.select("doc_id").distinct()
+    lines = _toc_lines(spark, sf_dir)
+    entries = parse.printed_toc(lines, "doc_id", line_no="line_no", text="text")
+    docs = lines.select("doc_id").distinct()
     page = F.explode(F.sequence(F.lit(10), F.lit(40), F.lit(3)))
     samples = docs.select("doc_id", page.alias("page")).withColumn("printed", F.when((F.col("page") + F.col("doc_id")) % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array((F.col("page") - 6).cast("bigint"))))
     decided = votes.offset_decision(samples.withColumn("page", F.col("page").cast("bigint")), "doc_id").withColumn("last_page", F.lit(400))

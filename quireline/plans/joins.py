@@ -167,6 +167,13 @@ SELECT a.l_orderkey, floor(median((b.y - a.y) / (b.k - a.k)) * 10 + 0.5)::BIGINT
     "digit_slip": """WITH p AS (SELECT o_orderkey, (o_orderkey % 997)::VARCHAR AS e, (CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 997) // 10 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 997 + 3 ELSE o_orderkey % 991 END)::VARCHAR AS r FROM orders)
 SELECT o_orderkey, r <> e AND ((length(r) = length(e) - 1 AND list_contains(list_transform(range(1, length(e) + 1), lambda i: substr(e, 1, (i - 1)::INT) || substr(e, (i + 1)::INT)), r)) OR (length(r) = length(e) AND length(e) >= 2 AND left(r, length(r)::INT - 1) = left(e, length(e)::INT - 1))) AS slip FROM p""",
     "cer_score": f"SELECT a.item_id, round(least(1.0, levenshtein(a.t, b.t) / length(b.t)), 6) AS cer FROM (SELECT item_id, {_bytes('text')} AS t FROM benchmark) a JOIN (SELECT item_id, {_bytes('text')} AS t FROM benchmark) b ON b.item_id = a.item_id + 1",
+    "sequential_matches": f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {_bytes("split_part(text, chr(10), 1)")} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+g AS (SELECT conv_id, turn, t || CASE WHEN turn % 2 = 0 THEN 'x' ELSE '' END AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS j FROM t WHERE turn % 5 <> 3),
+near AS (SELECT t.conv_id, t.i, list(g.j ORDER BY g.j) AS fits FROM t JOIN g ON g.conv_id = t.conv_id AND CASE WHEN t.t = '' THEN g.t = '' ELSE levenshtein(g.t, t.t) <= 0.5::DOUBLE * length(t.t) END GROUP BY 1, 2),
+steps AS (SELECT t.conv_id, t.i, t.turn, coalesce(fits, []) AS fits FROM t LEFT JOIN near USING (conv_id, i)),
+walk AS (SELECT conv_id, i, turn, list_filter(fits, lambda x: x < 6)[1] AS hit, coalesce(list_filter(fits, lambda x: x < 6)[1] + 1, 0) AS at FROM steps WHERE i = 0
+UNION ALL SELECT s.conv_id, s.i, s.turn, list_filter(s.fits, lambda x: x >= w.at AND x < w.at + 6)[1], coalesce(list_filter(s.fits, lambda x: x >= w.at AND x < w.at + 6)[1] + 1, w.at) FROM walk w JOIN steps s ON s.conv_id = w.conv_id AND s.i = w.i + 1)
+SELECT w.conv_id, w.turn AS truth_pos, g.turn AS got_pos FROM walk w LEFT JOIN g ON g.conv_id = w.conv_id AND g.j = w.hit""",
     "outline_score": f"WITH {_SCORES} SELECT * FROM scores",
     "suite_summary": f"""WITH {_SCORES} SELECT count(*) AS documents, count(*) FILTER (exact) AS exact, count(*) FILTER (page_share < 0.97 OR level_share < 0.95 OR mean_cer > 0.03) AS missed, round(avg(mean_cer), 6) AS mean_cer, round(avg(page_share), 6) AS page_share, round(avg(level_share), 6) AS level_share,
 CASE WHEN count(*) FILTER (page_share < 0.97 OR level_share < 0.95 OR mean_cer > 0.03) = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM scores""",

@@ -268,6 +268,23 @@ SELECT l_orderkey, quantity, coalesce(step > 1.2 * (median(step) OVER (PARTITION
 r AS (SELECT *, sum(CASE WHEN raw % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos, part) * 2 - CASE WHEN raw % 3 = 0 THEN 1 ELSE 0 END AS run FROM p)
 SELECT conv_id, pos, part::BIGINT AS part, row_number() OVER (PARTITION BY conv_id ORDER BY run, part, pos) AS reading_order FROM r""",
     "offset_vote": f'WITH {_SAMPLES} SELECT user_id, "offset", votes, rank FROM ranked',
+    "offset_decision": f"""WITH {_SAMPLES}, best AS (SELECT user_id, "offset" AS b, votes FROM ranked WHERE rank = 1),
+totals AS (SELECT user_id, count(*) AS samples, count(*) FILTER (len(printed) > 0) AS readable FROM samples GROUP BY 1),
+held AS (SELECT s.user_id, page, printed, b, list_contains(printed, page - b) AS agrees, min(CASE WHEN list_contains(printed, page - b) THEN page END) OVER u AS low, max(CASE WHEN list_contains(printed, page - b) THEN page END) OVER u AS high
+  FROM samples s JOIN best USING (user_id) WINDOW u AS (PARTITION BY s.user_id)),
+reads AS (SELECT DISTINCT user_id, page, b, low, high, unnest(printed) AS v FROM held),
+texts AS (SELECT *, v::VARCHAR AS r, (page - b)::VARCHAR AS e FROM reads WHERE page - v <> b),
+others AS (SELECT user_id, page - v AS other, count(DISTINCT page) AS n FROM texts WHERE NOT coalesce(page > low AND page < high AND r <> e AND ((length(r) = length(e) - 1 AND list_contains(list_transform(range(1, length(e) + 1), lambda i: substr(e, 1, (i - 1)::INT) || substr(e, (i + 1)::INT)), r))
+  OR (length(r) = length(e) AND length(e) >= 2 AND left(r, length(r)::INT - 1) = left(e, length(e)::INT - 1))), false) GROUP BY 1, 2),
+runner AS (SELECT user_id, other AS runner_offset, n AS runner_votes FROM others QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, other) = 1),
+last AS (SELECT user_id, b, printed, agrees, page, row_number() OVER (PARTITION BY user_id ORDER BY page DESC) AS k FROM held WHERE len(printed) > 0),
+spread AS (SELECT DISTINCT user_id, b, k, page - v AS o FROM (SELECT user_id, b, k, page, agrees, unnest(printed) AS v FROM last) WHERE NOT agrees AND page - v <> b),
+runs AS (SELECT user_id, b, o, count(*) FILTER (k = i) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, o ORDER BY k) AS i FROM spread) GROUP BY 1, 2, 3),
+late AS (SELECT user_id, o AS late_run FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS most FROM runs) WHERE n = most AND n >= 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(o - b), o) = 1),
+decided AS (SELECT t.user_id, b AS best_guess, coalesce(votes, 0) AS agreeing, samples, readable, round(coalesce(votes, 0) / samples, 6) AS confidence, runner_offset, coalesce(runner_votes, 0) AS runner_votes, late_run,
+  CASE WHEN b IS NULL THEN 'unreadable' WHEN coalesce(votes, 0) < 6 OR round(coalesce(votes, 0) / samples, 6) < 0.4 THEN 'low_confidence' WHEN coalesce(runner_votes, 0) * 3 > votes OR late_run IS NOT NULL THEN 'conflict' ELSE 'ok' END AS status
+  FROM totals t LEFT JOIN best USING (user_id) LEFT JOIN runner USING (user_id) LEFT JOIN late USING (user_id))
+SELECT *, CASE WHEN status = 'ok' THEN best_guess END AS "offset" FROM decided""",
     "roman_vote": f'WITH {_SAMPLES}, r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(votes) OVER w, 0) AS nxt FROM counted WHERE "offset" >= 0 WINDOW w AS (PARTITION BY user_id ORDER BY votes DESC, "offset")) SELECT user_id, "offset" AS roman_offset, votes FROM r WHERE place = 1 AND votes >= 2 AND votes >= 2 * nxt',
     "sample_pages": """WITH c AS (SELECT o_custkey, count(*) * 9 AS n FROM orders GROUP BY 1), s AS (SELECT o_custkey, n // 20 + 1 AS low, n - 2 * (n // 20) AS span FROM c)
 SELECT DISTINCT o_custkey, page FROM (SELECT o_custkey, unnest(CASE WHEN span <= 24 THEN range(low, low + span) ELSE list_transform(range(0, 24), lambda k: low + floor(k * (span - 1) / 23.0::DOUBLE + 0.5)::BIGINT) END) AS page FROM s)""",
