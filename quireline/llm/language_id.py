@@ -140,13 +140,17 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Profiles:
-    """Prototypes from ``rows``. What reaches the driver: a vector for each language and task, of at most per_language texts a language."""
+    """Prototypes from ``rows``. What reaches the driver: a count for each language with more than per_language texts, and a vector for each
+    language and task, as prototypes of all languages are held by every task anyway."""
     small_batches(rows.sparkSession)
     held = rows.select(named(text).cast("string").alias("text"), named(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
-    counts = held.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
-    # the share of a language as a bound of the hash: all texts of a language with no more than per_language
-    place = F.xxhash64("text") / F.lit(2.0**63)
-    sample = held.join(counts, "lang").filter((F.col("share") >= 1) | (place < 2 * F.col("share") - 1)).select("text", "lang").distinct()
+    counts = held.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().filter(F.col("count") > per_language).collect()
+    # of languages with more texts, those up to a bound of the hash; all texts of the others
+    bounds = [x for r in counts for x in (F.lit(r.lang), F.lit(2.0 * per_language / r["count"] - 1))]
+    if bounds:
+        bound = F.try_element_at(F.create_map(*bounds), F.col("lang"))
+        held = held.filter(bound.isNull() | (F.xxhash64("text") / F.lit(2.0**63) < bound))
+    sample = held.distinct()
     total: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(_sums, "lang string, vector binary").collect():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.vector, np.float64)
