@@ -176,3 +176,13 @@ def roman_value(text: Column) -> Column:
     worth = F.transform(F.filter(F.split(low, ""), lambda c: c != ""), lambda c: F.when(c == "m", 1000).when(c == "d", 500).when(c == "c", 100).when(c == "l", 50).when(c == "x", 10).when(c == "v", 5).when(c == "i", 1).otherwise(0))
     total = F.aggregate(F.transform(worth, lambda v, i: F.when(v < F.coalesce(F.try_element_at(worth, i + 2), F.lit(0)), -v).otherwise(v)), F.lit(0), lambda a, v: a + v)
     return F.when(shape & low.rlike("^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$") & (F.length(low) > 0), total)
+
+
+def repeated_lines(df, doc: str, line: str, number: str, *, least: int = 2):
+    """Lines with text that occur at least ``least`` times in a document, such as running heads, with their count and first place."""
+    return df.filter(F.trim(line) != "").groupBy(doc, line).agg(F.count("*").alias("n"), F.min(number).alias("first_line")).filter(F.col("n") >= least)
+
+
+def title_confidence(title: Column) -> Column:
+    """Confidence of a title by its looks: halved without letters, 0.6 of it for a single character."""
+    return F.when(~title.rlike(r"\p{L}"), 0.5).otherwise(1.0) * F.when(F.length(title) == 1, 0.6).otherwise(1.0)

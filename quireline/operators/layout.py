@@ -67,6 +67,54 @@ def theil_sen(df: DataFrame, group: list[str], x: str, y: str, key: str) -> Data
     return held.select(*group, F.explode(pairs).alias("slope")).filter("slope IS NOT NULL").groupBy(*group).agg(F.median("slope").alias("slope"), F.count("*").alias("n_pairs"))
 
 
+def number_column_skew(df: DataFrame, page: list[str], *, x: str, y: str, width: Column, height: Column, tolerance: Column) -> DataFrame:
+    """Per page, the skew that its column of page numbers shows, in radians, or null. The numbers are those within a twentieth of the width of the
+    rightmost; four at least, over a quarter of the height. The slope is the median over pairs a tenth of the height apart, and three
+    quarters of the numbers have to lie within ``tolerance`` of the line; no more than five degrees."""
+    from math import atan
+    from statistics import median
+
+    from quireline.operators.grouped import per_group
+
+    held = df.select(*page, *(c.cast("double").alias(n) for c, n in ((F.col(x), "__x"), (F.col(y), "__y"), (width, "__w"), (height, "__h"), (tolerance, "__t"))))
+    keys = len(page)
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        w, h, reach = rows[0][keys + 2 :]
+        right = max(r[keys] for r in rows)
+        points = [r[keys : keys + 2] for r in rows if r[keys] >= right - 0.05 * w]
+        tall = max(p[1] for p in points) - min(p[1] for p in points)
+        skew = None
+        if len(points) >= 4 and tall >= 0.25 * h:
+            slopes = [(b[0] - a[0]) / (b[1] - a[1]) for i, a in enumerate(points) for b in points[i + 1 :] if abs(b[1] - a[1]) >= 0.1 * h]
+            if slopes:
+                slope = median(slopes)
+                start = median(px - slope * py for px, py in points)
+                near = sum(abs(px - start - slope * py) <= reach for px, py in points)
+                skew = 0.0 - atan(slope) if 4 * near >= 3 * len(points) and abs(atan(slope)) <= LARGEST_SKEW else None
+        return [(*rows[0][:keys], skew)]
+
+    return per_group(held, page, ["__x", "__y"], run, held.select(*page, F.when(F.lit(False), 0.0).alias("skew")).schema)
+
+
+def number_column(df: DataFrame, page: list[str], tolerance: float, *, least: int = 3) -> DataFrame:
+    """Per page with one, ``left`` and ``right`` of the column of page numbers: the most boxes whose right edges (or, if they are more, left edges)
+    lie within ``tolerance``, the leftmost of such sets; ``least`` of them and half of all at least."""
+    w = Window.partitionBy(*page)
+    held = df.select(*page, *(F.col(c).cast("double").alias(c) for c in ("min_x", "max_x"))).withColumn("__n", F.count("*").over(w))
+
+    def widest(edge: str) -> DataFrame:
+        span = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in page)} ORDER BY {edge} RANGE BETWEEN CURRENT ROW AND {float(tolerance)}D FOLLOWING)"
+        each = held.select(*page, "__n", F.col(edge).alias("__from"), *(F.expr(f"{f} {span}").alias(n) for f, n in (("count(1)", "__size"), ("min(min_x)", "left"), ("max(max_x)", "right"))))
+        best = F.max_by(F.struct("left", "right", F.col("__size").alias("size")), F.struct(F.col("__size"), -F.col("__from")))
+        return each.groupBy(*page).agg(best.alias(f"__{edge}"), F.first("__n").alias(f"__n_{edge}"))
+
+    both = widest("max_x").join(widest("min_x"), page)
+    chosen = F.when(F.col("__max_x.size") >= F.col("__min_x.size"), F.col("__max_x")).otherwise(F.col("__min_x"))
+    found = both.select(*page, chosen.alias("__c"), F.col("__n_max_x").alias("__n"))
+    return found.filter((F.col("__c.size") >= least) & (2 * F.col("__c.size") >= F.col("__n"))).select(*page, "__c.left", "__c.right")
+
+
 def cover_histogram(df: DataFrame, group: list[str], low: Column, high: Column, bins: int = 200) -> DataFrame:
     """How many boxes span each of ``bins`` equal parts of 0 to 1."""
     first = F.greatest(F.lit(0), F.floor(low * bins)).cast("int")

@@ -53,15 +53,13 @@ def one_line_title(spark, sf_dir):
 
 def repeat_header_filter(spark, sf_dir):
     """Lines that occur at least twice in a document, with their count."""
-    return _lines(spark, sf_dir).filter("trim(line) <> ''").groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line")).filter("n >= 2")
+    return T.repeated_lines(_lines(spark, sf_dir), "doc_id", "line", "line_no")
 
 
 def sanity_penalties(spark, sf_dir):
     """Confidence of a line as a title: halved without letters, 0.6 for a single character."""
     kept = _lines(spark, sf_dir).filter("trim(line) <> ''")
-    title = F.trim("line")
-    conf = F.when(~title.rlike(r"\p{L}"), 0.5).otherwise(1.0) * F.when(F.length(title) == 1, 0.6).otherwise(1.0)
-    return kept.select("doc_id", "line_no", F.round(conf, 2).alias("confidence"))
+    return kept.select("doc_id", "line_no", F.round(T.title_confidence(F.trim("line")), 2).alias("confidence"))
 
 
 def page_specs(spark, sf_dir):

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quireline.functions import headings, numerals, ocr, tokens
-from quireline.operators import recognised
+from quireline.operators import layout, matching, recognised
 
 
 def _table(spark, sf_dir, name):
@@ -173,9 +173,58 @@ def next_status(spark, sf_dir):
     return recognised.next_with_status(rows, "o_custkey", "pos", "o_orderstatus", ["F", "P"], F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey") % 4 * 2))
 
 
-QUERIES = {f.__name__: f for f in (ocr_trailing, ocr_folio, heading_classify, page_split, any_number, one_or_i, reread_boxes, front_anchors, entry_confidence, mean_confidence, nearest_pages, next_status)}
+def number_column(spark, sf_dir):
+    return layout.number_column(_boxes(spark, sf_dir), ["l_orderkey"], 6.0)
+
+
+def number_skew(spark, sf_dir):
+    """Line items as numbers in a column that leans; the slope in thousandths."""
+    items = _table(spark, sf_dir, "lineitem")
+    y = (F.floor("l_extendedprice") % 1000).cast("double")
+    x = 900 + y * (F.col("l_orderkey") % 9 - 4) / 100 + F.when(F.col("l_linenumber") == 3, 7).otherwise(0)
+    made = layout.number_column_skew(items.select("l_orderkey", x.alias("x"), y.alias("y")), ["l_orderkey"], x="x", y="y", width=F.lit(1000), height=F.lit(1000), tolerance=F.lit(4))
+    return made.select("l_orderkey", (F.round("skew", 6) + F.lit(0.0)).alias("skew"))
+
+
+def _shown(spark, sf_dir):
+    """Events of a user as lines of pages."""
+    return _table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 40).alias("page"), F.concat(F.lit("Matters of "), "event_type").alias("line"))
+
+
+def chapter_pages(spark, sf_dir):
+    """Pages around the expected one that show a chapter's title, and whether the expected page confirms it."""
+    chapters = _table(spark, sf_dir, "events").filter("event_id % 11 = 0").select("user_id", F.concat(F.lit("Matter of "), "event_type").alias("title"), (F.col("event_id") % 37 + 3).alias("expected")).distinct()
+    found = matching.chapter_windows(chapters, _shown(spark, sf_dir), "user_id", expected="expected", title="title", page="page", line="line")
+    return found.select("user_id", "title", "expected", F.array_join("pages", ",").alias("pages"), "confirmed")
+
+
+def located_titles(spark, sf_dir):
+    """The first page of a span that shows a title; pages that are divisible by 5 are not looked at."""
+    events = _table(spark, sf_dir, "events")
+    spans = events.filter("event_id % 13 = 0").select("user_id", "event_id", F.concat(F.lit("Matter of "), "event_type").alias("title"), (F.col("event_id") % 30).alias("low"), (F.col("event_id") % 30 + 9).alias("high"))
+    out = events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(5))).alias("p")).select("user_id", F.col("p").cast("long").alias("page"))
+    return matching.locate_titles(spans, _shown(spark, sf_dir), "user_id", "event_id", title="title", page="page", line="line", excluded=out).select("user_id", "event_id", "located")
+
+
+QUERIES = {f.__name__: f for f in (number_column, number_skew, chapter_pages, located_titles, ocr_trailing, ocr_folio, heading_classify, page_split, any_number, one_or_i, reread_boxes, front_anchors, entry_confidence, mean_confidence, nearest_pages, next_status)}
 
 ORACLES = {
+    "number_column": """WITH b AS (SELECT l_orderkey AS k, floor(l_quantity) AS x0, floor(l_quantity) + 8 AS x1, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+c AS (SELECT k, n, 1 AS side, x1 AS edge, count(*) OVER w AS size, min(x0) OVER w AS l, max(x1) OVER w AS r FROM b WINDOW w AS (PARTITION BY k ORDER BY x1 RANGE BETWEEN CURRENT ROW AND 6 FOLLOWING)
+UNION ALL SELECT k, n, 0, x0, count(*) OVER w, min(x0) OVER w, max(x1) OVER w FROM b WINDOW w AS (PARTITION BY k ORDER BY x0 RANGE BETWEEN CURRENT ROW AND 6 FOLLOWING))
+SELECT k AS l_orderkey, l AS "left", r AS "right" FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY size DESC, side DESC, edge) AS i FROM c) WHERE i = 1 AND size >= 3 AND 2 * size >= n""",
+    "number_skew": """WITH p AS (SELECT l_orderkey AS k, (floor(l_extendedprice) % 1000)::DOUBLE AS y, 900 + (floor(l_extendedprice) % 1000)::DOUBLE * (l_orderkey % 9 - 4) / 100 + CASE WHEN l_linenumber = 3 THEN 7 ELSE 0 END AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
+c AS (SELECT * FROM p q WHERE x >= (SELECT max(x) FROM p WHERE p.k = q.k) - 50),
+g AS (SELECT k, count(*) AS n, max(y) - min(y) AS tall FROM c GROUP BY 1),
+s AS (SELECT a.k, median((b.x - a.x) / (b.y - a.y)) AS slope FROM c a JOIN c b ON a.k = b.k AND a.i < b.i AND abs(b.y - a.y) >= 100 GROUP BY 1),
+t AS (SELECT c.k, slope, median(x - slope * y) AS start FROM c JOIN s USING (k) GROUP BY 1, 2),
+f AS (SELECT c.k, slope, count(*) FILTER (abs(x - (start + slope * y)) <= 4) AS near FROM c JOIN t USING (k) GROUP BY 1, 2)
+SELECT g.k AS l_orderkey, CASE WHEN n >= 4 AND tall >= 250 AND 4 * near >= 3 * n AND abs(atan(slope)) <= 5 * pi() / 180 THEN round(-atan(slope), 6) + 0.0::DOUBLE END AS skew FROM g LEFT JOIN f USING (k)""",
+    "chapter_pages": """WITH c AS (SELECT DISTINCT user_id, 'Matter of ' || event_type AS title, event_id % 37 + 3 AS expected FROM events WHERE event_id % 11 = 0), l AS (SELECT DISTINCT user_id, event_id % 40 AS page, 'Matters of ' || event_type AS line FROM events),
+h AS (SELECT c.user_id, title, expected, list_sort(list(DISTINCT page)) AS pages FROM c JOIN l ON l.user_id = c.user_id AND abs(page - expected) <= 3 AND levenshtein(title, line) <= floor(length(title) * 0.2::DOUBLE) GROUP BY 1, 2, 3)
+SELECT user_id, title, expected, coalesce(array_to_string(pages, ','), '') AS pages, coalesce(list_contains(pages, expected) AND NOT list_contains(pages, expected - 1), false) AS confirmed FROM c LEFT JOIN h USING (user_id, title, expected)""",
+    "located_titles": """WITH s AS (SELECT user_id, event_id, 'Matter of ' || event_type AS title, event_id % 30 AS low, event_id % 30 + 9 AS high FROM events WHERE event_id % 13 = 0), l AS (SELECT user_id, event_id % 40 AS page, 'Matters of ' || event_type AS line FROM events)
+SELECT s.user_id, s.event_id, min(page) AS located FROM s JOIN l ON l.user_id = s.user_id AND page BETWEEN low AND high AND page % 5 <> 0 AND levenshtein(title, line) <= floor(length(title) * 0.2::DOUBLE) GROUP BY 1, 2""",
     "ocr_trailing": _oracle(TRAILING, ("title", "value", "kind")),
     "ocr_folio": _oracle(HEADS, ("numbers",)),
     "heading_classify": _oracle(TITLES, ("kind", "numbers")),

@@ -37,7 +37,7 @@ _HEADER = re.compile(rb"(?<![0-9])([0-9]{1,7})[\0\t\n\f\r ]+([0-9]{1,5})[\0\t\n\
 
 class Document:
     def __init__(self, data: bytes):
-        self.data, self.cache, self.inner, self.decoded, self.repairs = data, {}, {}, 0, []
+        self.data, self.cache, self.inner, self.decoded, self.repairs, self.moved = data, {}, {}, 0, [], {}
         head = data[:1024].find(b"%PDF-")
         if head < 0:
             raise PdfError("no PDF header")
@@ -227,6 +227,7 @@ class Document:
         if len(found) != 1:
             raise PdfError(f"object {ref.num} is not where it should be")
         self.repairs.append(ref.num)
+        self.moved[ref] = found[0] - self.base
         return self._object_at(found[0])[2]
 
     def _object_stream(self, num: int) -> dict:

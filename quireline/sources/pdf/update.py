@@ -32,6 +32,10 @@ def tree_links(levels: list[int]) -> list[dict[str, int | None]]:
     return rows
 
 
+#: Trailer keys that are about one cross-reference section and its stream; all others are of the file.
+OF_SECTION = {"Size", "Prev", "XRefStm", "Type", "W", "Index", "Length", "Filter", "DecodeParms", "DP", "F", "FFilter", "FDecodeParms", "DL"}
+
+
 def with_outline(data: bytes, items: list[Item], *, offset: int = 0) -> bytes:
     """``data`` with these entries (pages from 1) as its outline; none removes it. What cannot be done without loss is refused."""
     doc = Document(data)
@@ -61,9 +65,11 @@ def with_outline(data: bytes, items: list[Item], *, offset: int = 0) -> bytes:
             if link["count"]:
                 row["Count"] = link["count"]
             objects[at(i)] = row | {"Dest": [doc.pages[r.page + offset - 1], Name("Fit")]}
-        catalog["Outlines"] = Ref(first)
+        catalog |= {"Outlines": Ref(first), "PageMode": Name("UseOutlines")}
     else:
         catalog.pop("Outlines", None)
+        if catalog.get("PageMode") == Name("UseOutlines"):
+            del catalog["PageMode"]
     objects[root] = catalog
     out = bytearray(b"" if data[-1:] in (b"\n", b"\r") else b"\n")
     base, offsets = len(data) - doc.base, {}
@@ -71,7 +77,9 @@ def with_outline(data: bytes, items: list[Item], *, offset: int = 0) -> bytes:
         offsets[ref] = base + len(out)
         out += b"%d %d obj\n" % (ref.num, ref.gen) + written(value) + b"\nendobj\n"
     size = max(first + len(items) + 1 if items else first, doc.trailer.get("Size") if isinstance(doc.trailer.get("Size"), int) else 0)
-    carried = {k: v for k, v in doc.trailer.items() if k in ("Root", "Info", "ID")}
+    carried = {k: v for k, v in doc.trailer.items() if k not in OF_SECTION and v is not None}
+    for ref, place in doc.moved.items():  # what stands elsewhere than the table says is listed where it stands
+        offsets.setdefault(ref, place)
     previous = {} if doc.rebuilt else {"Prev": doc.startxref}
     start = base + len(out)
     if doc.rebuilt:

@@ -79,6 +79,25 @@ def test_rebuilt_files():
         Document(broken.replace(b"%%EOF", b"10 0 obj\nnull\nendobj\n%%EOF"))
 
 
+def test_updates_keep_trailer_keys_and_set_the_page_mode():
+    base = build(outline=False)
+    data = base.replace(b"/Root 1 0 R", b"/Root 1 0 R /Info 10 0 R /Own (kept)", 1)
+    made = with_outline(data, [Item("One", 0, 1)])
+    doc = Document(made)
+    assert doc.trailer["Own"] == b"kept" and doc.trailer["Info"] == Ref(10) and doc.catalog["PageMode"] == "UseOutlines"
+    without = Document(with_outline(made, []))
+    assert "PageMode" not in without.catalog and "Outlines" not in without.catalog and without.trailer["Own"] == b"kept"
+
+
+def test_updates_list_moved_objects_where_they_are():
+    base = build(outline=False)
+    at = base.index(b"12 0 obj")
+    wrong = base.replace(b"%010d 00000 n" % at, b"%010d 00000 n" % (at + 3), 1)
+    assert wrong != base and Document(wrong).pages and Document(wrong).repairs
+    again = Document(with_outline(wrong, [Item("Third", 0, 3)]))
+    assert len(again.pages) == 4 and not again.repairs and [r.page_index for r in again.outline()] == [2]
+
+
 def test_refusals():
     for bad in (b"", b"%PDF-1.4", build(count=9), build().replace(b"11 0 R 12 0 R", b"10 0 R 12 0 R"), build().replace(b"11 0 R 12 0 R", b"99 0 R 12 0 R")):
         with pytest.raises(PdfError):
