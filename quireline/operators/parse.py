@@ -467,7 +467,7 @@ def assign_levels(rows: list[Row], tolerance: float = 1.5) -> None:
     used: list[float | None] = []
     for i, r in enumerate(rows):
         kind, own = r.heading.kind, ranks[i]
-        trailing = kind == "trailer" or (kind == "matter" and r.heading.keyword in inside and structural and structural[0] < i < structural[-1])
+        trailing = kind == "trailer" or (kind == "matter" and r.heading.keyword in inside and i > structural[0])
         if trailing:
             limit = 4 if kind == "trailer" and ("节" in r.heading.keyword or len(r.heading.numbers) >= 2) else 1
             above = [j for j, k in enumerate(stack) if k <= limit]

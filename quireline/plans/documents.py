@@ -46,7 +46,7 @@ def _toc_lines(spark, sf_dir):
     rows = orders.withColumn("n", n).withColumn("chapter", F.floor((F.col("n") - 1) / 4) + 1).withColumn("part", (F.col("n") - 1) % 4)
     page = (F.col("n") * 7).cast("string")
     shown = F.when(F.col("o_orderkey") % 11 == 0, F.replace(page, F.lit("1"), F.lit("l"))).otherwise(page)
-    head = F.concat(F.lit("Chapter "), F.col("chapter"), F.lit(" Matters of order "), F.col("o_orderkey"), F.lit(" ........ "), shown)
+    head = F.concat(F.lit("Chapter "), F.col("chapter"), F.lit(" Matters of order "), F.col("o_orderkey"), F.lit(" and more ........ "), shown)
     section = F.concat(F.lit("    "), F.col("chapter"), F.lit("."), F.col("part"), F.lit(" Details and "), F.when(F.col("o_orderkey") % 5 == 0, F.lit("\n      the rest of them")).otherwise(F.lit("figures")), F.lit(" ..... "), shown)
     line = F.when(F.col("part") == 0, head).otherwise(section)
     lines = rows.select("doc_id", F.col("n").alias("entry"), F.posexplode(F.split(line, "\n")).alias("k", "text"))
@@ -56,7 +56,9 @@ def _toc_lines(spark, sf_dir):
 
 
 def printed_toc(spark, sf_dir):
-    return parse.printed_toc(_toc_lines(spark, sf_dir), "doc_id", line_no="line_no", text="text")
+    """What the parse of those lines finds."""
+    found = parse.printed_toc(_toc_lines(spark, sf_dir), "doc_id", line_no="line_no", text="text")
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "title", F.col("level").cast("long").alias("level"), "kind", "page_style", F.col("printed_page").cast("long").alias("printed_page"), "inherited")
 
 
 def outline_policy(spark, sf_dir):
@@ -118,6 +120,15 @@ ORACLES = {
     "toc_text_sink": f"WITH {_DRAFTS} SELECT conv_id, string_agg(repeat(chr(9), level::INT) || title || chr(9) || page || chr(10), '' ORDER BY pos) AS text FROM drafts GROUP BY 1",
     "file_sinks": "SELECT DISTINCT conv_id, format, true AS equal FROM conversations, (VALUES ('text'), ('json'), ('opml'), ('xml')) f(format)",
     "space_levels": f"WITH {_DRAFTS} SELECT conv_id, pos, least(5, dense_rank() OVER (PARTITION BY conv_id ORDER BY raw) - 1) AS level FROM outline",
+    "printed_toc": """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), p AS (SELECT *, (n - 1) // 4 + 1 AS chapter, (n - 1) % 4 AS part FROM o)
+SELECT doc_id, n AS pos, CASE WHEN part = 0 THEN 'Chapter ' || chapter || ' Matters of order ' || o_orderkey || ' and more' ELSE chapter || '.' || part || ' Details and ' || CASE WHEN o_orderkey % 5 = 0 THEN 'the rest of them' ELSE 'figures' END END AS title,
+  CASE WHEN part = 0 THEN 0 ELSE 1 END::BIGINT AS level, CASE WHEN part = 0 THEN 'chapter' ELSE 'dotted' END AS kind, 'arabic' AS page_style, n * 7 AS printed_page, false AS inherited FROM p
+UNION ALL SELECT DISTINCT doc_id, 0, 'Preface', 0, 'matter', 'roman', 4, false FROM o""",
+    "outline_policy": """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+u AS (SELECT doc_id, count(*) AS n, count(*) FILTER (o_orderkey % 11 = 0 AND contains((n * 7)::VARCHAR, '1')) AS unsure FROM o GROUP BY 1),
+c AS (SELECT doc_id, n + 1 AS entries, n AS arabic, unsure + 1 AS low, unsure AS doubtful, n AS mapped, 0::BIGINT AS beyond FROM u)
+SELECT *, CASE WHEN arabic < 3 THEN 'too few entries with pages' WHEN low > 0.5 * entries THEN 'most entries are unsure' WHEN doubtful > greatest(1, floor(entries * 0.15::DOUBLE)) THEN 'too many doubtful entries' END AS reason,
+  CASE WHEN reason IS NULL THEN 'ok' ELSE 'refused' END AS status FROM c""",
     "draft_issues": f"""WITH {_DRAFTS}, p AS (SELECT conv_id, pos, CASE WHEN pos % 5 = 4 THEN NULL WHEN pos % 3 = 2 THEN page - 5 ELSE page END AS page FROM drafts),
 b AS (SELECT *, last_value(page IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
 i AS (SELECT conv_id, pos, concat_ws(',', CASE WHEN page IS NULL THEN 'no_page' END, CASE WHEN page < 1 OR page > 16 THEN 'out_of_range' END, CASE WHEN page < before THEN 'before_previous' END) AS issues FROM b)

@@ -140,3 +140,10 @@ def test_columns(spark):
     a, b = df.select(T.split_column("line").alias("s"), H.classify_column("line").alias("h")).collect()
     assert (a.s.title, a.s.page.value, a.h.kind, a.h.numbers) == ("1.1 Scope", 12, "dotted", [1, 1])
     assert (b.s.title, b.s.page, b.h.kind) == ("", None, "none")
+
+
+def test_matter_that_chapters_end_with_is_theirs():
+    lines = ["第一章 市场 …… 1", "第一节 需求 …… 2", "参考文献 …… 9", "第二章 生产 …… 10", "参考文献 …… 19", "第三章 分配 …… 20", "参考文献 …… 29", "附录 …… 30"]
+    rows, _ = parsed("\n".join(lines))
+    got = [(r.title, r.level) for r in rows]
+    assert got == [("第一章 市场", 0), ("第一节 需求", 1), ("参考文献", 1), ("第二章 生产", 0), ("参考文献", 1), ("第三章 分配", 0), ("参考文献", 1), ("附录", 0)]
