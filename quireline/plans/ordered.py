@@ -137,7 +137,7 @@ def lnds_length(spark, sf_dir):
 
 
 def lnds_members(spark, sf_dir):
-    return scans.longest_nondecreasing(_items(spark, sf_dir), "l_orderkey", "line", "quantity")
+    return scans.longest_nondecreasing(_items(spark, sf_dir), "l_orderkey", "line", "quantity").withColumn("line", F.col("line").cast("long"))
 
 
 def rank_stack(spark, sf_dir):
@@ -252,6 +252,12 @@ page IS NULL AND page_inherited IS NOT NULL AS inherited FROM paged""",
     "lnds_length": f"""WITH RECURSIVE {_ITEMS}, best(l_orderkey, line, quantity, n) AS (
 SELECT l_orderkey, line, quantity, 1 AS n FROM items UNION SELECT i.l_orderkey, i.line, i.quantity, b.n + 1 FROM best b JOIN items i ON i.l_orderkey = b.l_orderkey AND i.line > b.line AND i.quantity >= b.quantity)
 SELECT l_orderkey, max(n)::BIGINT AS length FROM best GROUP BY 1""",
+    "lnds_members": f"""WITH RECURSIVE {_ITEMS}, best(l_orderkey, line, quantity, n) AS (
+SELECT l_orderkey, line, quantity, 1 AS n FROM items UNION SELECT i.l_orderkey, i.line, i.quantity, b.n + 1 FROM best b JOIN items i ON i.l_orderkey = b.l_orderkey AND i.line > b.line AND i.quantity >= b.quantity),
+sized AS (SELECT l_orderkey, line, max(n) AS n FROM best GROUP BY 1, 2),
+back AS (SELECT a.l_orderkey, a.line, max(b.line) AS before FROM sized a JOIN sized b ON b.l_orderkey = a.l_orderkey AND b.line < a.line AND b.n = a.n - 1 GROUP BY 1, 2),
+walk AS (SELECT l_orderkey, arg_max(line, n * 1000 + line) AS line FROM sized GROUP BY 1 UNION ALL SELECT w.l_orderkey, b.before FROM walk w JOIN back b ON b.l_orderkey = w.l_orderkey AND b.line = w.line)
+SELECT i.l_orderkey, i.line, i.quantity, w.line IS NOT NULL AS kept FROM items i LEFT JOIN walk w ON w.l_orderkey = i.l_orderkey AND w.line = i.line""",
     "rank_stack": """WITH r AS (SELECT conv_id, turn, length(text) % 7 AS rank FROM conversations)
 SELECT conv_id, turn, (SELECT count(*) FROM r j WHERE j.conv_id = i.conv_id AND j.turn < i.turn AND j.rank < (SELECT min(k.rank) FROM r k WHERE k.conv_id = i.conv_id AND k.turn > j.turn AND k.turn <= i.turn)) AS level FROM r i""",
     "chain_cluster": f"""WITH {_ITEMS}, d AS (SELECT *, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) > 5000 THEN 1 ELSE 0 END AS new FROM items)
