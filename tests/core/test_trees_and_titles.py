@@ -57,3 +57,35 @@ def test_trees_of_any_depth(spark):
         got.setdefault(r.doc, []).append(r.level)
         assert r.pos == len(got[r.doc]) - 1
     assert got == lifted
+
+
+def test_alignment_is_cheapest():
+    from functools import cache
+
+    from quireline.operators.evaluate import align, rate
+
+    rng = random.Random(4)
+    for _ in range(150):
+        truth = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 6))]
+        got = [t + rng.choice(["", "x", "yy"]) for t in truth if rng.random() < 0.7] + ["zzz"] * rng.randrange(0, 2)
+
+        @cache
+        def cheapest(i, j, got=tuple(got), truth=tuple(truth)):
+            if i == len(got) or j == len(truth):
+                return float(len(got) - i + len(truth) - j)
+            pair = rate(got[i], truth[j])
+            return min(1 + cheapest(i + 1, j), 1 + cheapest(i, j + 1), *([pair + cheapest(i + 1, j + 1)] if pair <= 0.5 else []))
+
+        rows = align(got, truth)
+        assert [i for i, _, _ in rows if i is not None] == [*range(len(got))] and [j for _, j, _ in rows if j is not None] == [*range(len(truth))]
+        assert all(c == rate(got[i], truth[j]) <= 0.5 for i, j, c in rows if i is not None and j is not None)
+        assert abs(sum(c for _, _, c in rows) - cheapest(0, 0)) < 1e-9
+
+
+def test_aligned_tables(spark):
+    from quireline.operators import evaluate
+
+    rows = lambda *r: spark.createDataFrame(list(r), "d int, i int, t string")
+    got, truth = rows((1, 0, "alpha"), (1, 1, "gamma"), (2, 0, "x")), rows((1, 0, "alpha"), (1, 1, "beta"), (1, 2, "gamma!"), (3, 0, None))
+    assert sorted(((r.d, r.got_pos, r.truth_pos, round(r.cer, 3)) for r in evaluate.align_entries(got, truth, "d", "i", "t").collect()), key=str) == [(1, 0, 0, 0.0), (1, 1, 2, 0.167), (1, None, 1, 1.0), (2, 0, None, 1.0), (3, None, 0, 1.0)]
+    assert sorted(map(tuple, evaluate.sequential_matches(got, truth, "d", "i", "t").collect()), key=str) == [(1, 0, 0), (1, 1, None), (1, 2, 1), (3, 0, None)]
