@@ -84,6 +84,18 @@ def tree_deep_lift(spark, sf_dir):
     return tree.delete_rows(_deep(spark, sf_dir), "user_id", "pos", "level", F.col("event_id") % 3 == 1).select("user_id", "event_id", "pos", "level")
 
 
+def draft_edits(spark, sf_dir):
+    """Each conversation's outline after each edit of its fourth row (with what is below it)."""
+    from quireline.operators import drafts
+
+    outline = _outline(spark, sf_dir)
+    made = [drafts.edited(outline, "conv_id", "pos", "level", edit, F.col("pos") == 3).withColumn("edit", F.lit(edit)) for edit in ("indent", "outdent", "move_up", "move_down", "insert_sibling", "insert_child")]
+    both = made[0]
+    for one in made[1:]:
+        both = both.unionByName(one)
+    return both.select("conv_id", "edit", "old_pos", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "changed")
+
+
 def shift_block(spark, sf_dir):
     held = _blocks(spark, sf_dir).withColumn("printed_page", F.when(F.col("turn") % 3 > 0, F.col("turn") * 10)).withColumn("manual_page", F.when(F.col("turn") % 4 == 3, F.col("turn") + 100)).withColumn("section_shift", F.lit(0).cast("long"))
     return tree.shift_pages(held, "conv_id", "pos", F.col("turn") % 4 == 1, 3).select("conv_id", "pos", "manual_page_new", "section_shift_new")
@@ -211,7 +223,7 @@ def spread_pick(spark, sf_dir):
     return votes.spread_pick(orders, "o_custkey", "o_orderkey")
 
 
-_SCANS = (level_clamp, level_violation, tree_parent, tree_ancestors, tree_block_end, tree_links, tree_visible, tree_heads, tree_delete, tree_lift, tree_deep, tree_deep_lift, shift_block, calibrate_from, page_inherit, forward_fill, neighbour_values, behind_last, run_collapse, order_breaks, lnds_length, lnds_members, rank_stack, chain_cluster, anchor_cluster, equal_edge_cluster, gap_detect, review_queue, column_reading_order, offset_vote, offset_decision, roman_vote, sample_pages, spread_pick)
+_SCANS = (level_clamp, level_violation, tree_parent, tree_ancestors, tree_block_end, tree_links, tree_visible, tree_heads, tree_delete, tree_lift, tree_deep, tree_deep_lift, draft_edits, shift_block, calibrate_from, page_inherit, forward_fill, neighbour_values, behind_last, run_collapse, order_breaks, lnds_length, lnds_members, rank_stack, chain_cluster, anchor_cluster, equal_edge_cluster, gap_detect, review_queue, column_reading_order, offset_vote, offset_decision, roman_vote, sample_pages, spread_pick)
 QUERIES = {f.__name__: f for f in _SCANS}
 
 _PAGED = "paged AS (SELECT user_id, event_id, CASE WHEN (props->>'$.k')::BIGINT % 3 > 0 THEN (props->>'$.k')::BIGINT END AS page FROM events)"
@@ -239,6 +251,19 @@ ORACLES = {
     "tree_deep": f"""WITH {_DEEP} SELECT user_id, pos, level, parent, block_end, CASE WHEN block_end > pos + 1 THEN pos + 1 END AS first_child, lead(pos) OVER w AS next_sibling, lag(pos) OVER w AS previous_sibling
 FROM tree WINDOW w AS (PARTITION BY user_id, parent, level ORDER BY pos)""",
     "tree_deep_lift": f"WITH {_DEEP} SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS pos, level - (SELECT count(*) FROM tree c WHERE c.user_id = o.user_id AND c.pos < o.pos AND o.pos < c.block_end AND c.event_id % 3 = 1) AS level FROM tree o WHERE o.event_id % 3 <> 1",
+    "draft_edits": f"""WITH {_OUTLINE}, c AS (SELECT conv_id, pos AS s, block_end AS e, level AS l FROM tree WHERE pos = 3),
+i AS (SELECT c.*, (SELECT level FROM tree t WHERE t.conv_id = c.conv_id AND t.pos = s - 1) AS before_level, (SELECT max(pos) FROM tree t WHERE t.conv_id = c.conv_id AND t.pos < s AND t.level <= l) AS up,
+  (SELECT level FROM tree t WHERE t.conv_id = c.conv_id AND t.pos = e) AS next_level, (SELECT block_end FROM tree t WHERE t.conv_id = c.conv_id AND t.pos = e) AS next_end FROM c),
+j AS (SELECT i.*, (SELECT level FROM tree t WHERE t.conv_id = i.conv_id AND t.pos = up) AS up_level FROM i),
+r AS (SELECT t.conv_id, t.pos, t.level, coalesce(t.pos >= s AND t.pos < e, false) AS inside, s, e, l, up, next_end, coalesce(l <= before_level, false) AS indents, coalesce(l > 0, false) AS outdents, coalesce(up_level = l, false) AS ups, coalesce(next_level = l, false) AS downs FROM tree t LEFT JOIN j USING (conv_id))
+SELECT conv_id, 'indent' AS edit, pos AS old_pos, pos, level + CASE WHEN indents AND inside THEN 1 ELSE 0 END AS level, indents AS changed FROM r
+UNION ALL SELECT conv_id, 'outdent', pos, pos, level - CASE WHEN outdents AND inside THEN 1 ELSE 0 END, outdents FROM r
+UNION ALL SELECT conv_id, 'move_up', pos, CASE WHEN NOT ups THEN pos WHEN inside THEN pos - (s - up) WHEN pos >= up AND pos < s THEN pos + (e - s) ELSE pos END, level, ups FROM r
+UNION ALL SELECT conv_id, 'move_down', pos, CASE WHEN NOT downs THEN pos WHEN inside THEN pos + (next_end - e) WHEN pos >= e AND pos < next_end THEN pos - (e - s) ELSE pos END, level, downs FROM r
+UNION ALL SELECT conv_id, 'insert_sibling', pos, pos + CASE WHEN pos >= e THEN 1 ELSE 0 END, level, true FROM r
+UNION ALL SELECT conv_id, 'insert_sibling', NULL, coalesce(max(e), count(*)), coalesce(max(l), 0), true FROM r GROUP BY conv_id
+UNION ALL SELECT conv_id, 'insert_child', pos, pos + CASE WHEN pos >= e THEN 1 ELSE 0 END, level, s IS NOT NULL FROM r
+UNION ALL SELECT conv_id, 'insert_child', NULL, e, l + 1, true FROM c""",
     "shift_block": f"""WITH {_OUTLINE}, marked AS (SELECT conv_id, pos, turn, (turn % 4 = 1 OR EXISTS ({_COVER} c.turn % 4 = 1)) AS inside FROM tree o)
 SELECT conv_id, pos, CASE WHEN turn % 4 = 3 THEN turn + 100 + CASE WHEN inside THEN 3 ELSE 0 END END AS manual_page_new, CASE WHEN inside AND turn % 4 <> 3 AND turn % 3 > 0 THEN 3 ELSE 0 END::BIGINT AS section_shift_new FROM marked""",
     "calibrate_from": f"WITH {_OUTLINE} SELECT conv_id, pos, raw + CASE WHEN pos >= 3 AND turn % 2 = 0 THEN 7 ELSE 0 END AS section_shift FROM outline",
