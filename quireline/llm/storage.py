@@ -1,6 +1,7 @@
 """Shared storage: the folder that driver and executors both see, and tables or files written there.
 
-The folder is ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a folder of our own is used.
+The folder is ``spark.checkpoint.dir``. Only where that is unset and all executors are in this process (tests, a laptop), a folder of our own is
+used; a cluster without that setting is an error. What is written stays there; whoever set the folder may empty it when no result is read any more.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of a folder that all executors share; no trailing slash."""
     found = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="quireline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
