@@ -1,18 +1,20 @@
 """License scans: a trained paragraph classifier, with a calibrated unknown class, confirmed by comparison with templates.
 
 Features are the distinct word n-grams (1 to 3) of a paragraph, kept by hash. A multinomial logistic regression over the families and
-``unknown`` is fitted on the driver, on variants of the notices below (words dropped, cut at the ends, put beside other words) and on
-paragraphs that only sound like notices; that is the bounded set of labelled rows, ``VARIANTS`` times the notices. A third of the variants
-is held out: a temperature is fitted on it so that probabilities are calibrated, and the least probability of a family is set so that at
-most one in a hundred of its other paragraphs passes. A prediction counts if enough of the sentence's word pairs are in notices of that
-family, or enough of one notice's word pairs are in the sentence, and a pair among them that no other family's notices have.
-
-The scan itself is one projection of DataFrame functions, row by row, without a shuffle: weights and notices are constants in it. Texts
-are split into lines (the paragraphs) and these into sentences, which are judged one by one. Sentences with less than half of their
-word pairs in notices, and without a pair that tells a family, are passed over: comparison could not confirm them. Cue words only decide which lines without a
-confirmed sentence are listed as ``unknown``. Whole texts are scanned.
-
-Null and empty texts have no paragraphs and no families. Rows are judged one by one, so repeats and empty tables need nothing.
+``unknown`` is fitted on the driver, on variants of the notices below (words dropped, cut at the ends, put beside other words), on notices of
+licences outside the families and on paragraphs that only sound like notices; that is the bounded set of labelled rows, ``VARIANTS`` times
+the notices. A third of the variants is held out: a temperature is fitted on it so that probabilities are calibrated, and the least
+probability of a family is set so that at most one in a hundred of its unknown paragraphs passes. A prediction counts if enough of the
+sentence's word pairs are in notices of that family, or enough of one notice's word pairs are in the sentence, and a pair among them that
+no other family's notices nor those of other licences have.
+
+The scan itself is one projection of DataFrame functions, row by row, without a shuffle: weights and notices are constants in it. Paragraphs
+are judged sentence by sentence: the sentences of each line, and those that go over line ends up to a blank line, as notices are often
+wrapped, if the words on both sides of some line end are a pair of a notice: else no notice goes over one. Sentences with less than half of their word pairs in notices, and without a pair that tells a family, are passed over: comparison
+could not confirm them. Cue words only decide which lines without a confirmed sentence are listed as ``unknown``. Whole texts are scanned.
+
+Null and empty texts have no paragraphs and no families. Rows are judged one by one, so repeats and empty tables need nothing. Kept columns may
+have any names (see ``columns``).
 """
 
 from __future__ import annotations
@@ -27,13 +29,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireline.llm.columns import Kept, named
+
 UNKNOWN = "unknown"
 #: Characters that the tests' texts keep to (no limit of the scan); hash buckets; variants of each notice.
 LONG, BUCKETS, VARIANTS = 400, 1 << 14, 24
 #: Share of a sentence's word pairs that must be in the family's notices, or of a notice's word pairs that must be in the sentence.
 LEAST_CONTAINED = 0.5
-#: Ends of sentences; none after a colon, which would cut identifiers off.
-SENTENCE_END = r"(?<=[.!?;])[ \t\r\f\x0b]+"
+#: Ends of sentences; none after a colon, which would cut identifiers off. In a paragraph, line ends are white space.
+SENTENCE_END, WRAPPED_END = r"(?<=[.!?;])[ \t\r\f\x0b]+", r"(?<=[.!?;])[ \t\r\f\x0b\n]+"
+BLANK_LINE = r"\n[ \t\r\f\x0b]*\n\s*"
+#: The last word of a line (1) and the first of the next with words (2).
+OVER = r"\b([a-z0-9]++)[^a-z0-9\n]*+\n[^a-z0-9]*+(?=([a-z0-9]++))"
 CUE = r"(?i)licen[cs]|copyright|\(c\)|spdx|warrant|permi(ssion|tted)|redistribut|public domain|creative commons|\bcc[ -](by|0)|all rights reserved|unlicense"
 
 NOTICES = {
@@ -51,6 +58,7 @@ NOTICES = {
         "SPDX-License-Identifier: MIT",
         "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
+        "The rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "bsd": [
@@ -68,18 +76,24 @@ NOTICES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "SPDX-License-Identifier: GPL-2.0-only",
         "Licensed under GPLv3.",
+        "Released under GPLv3.",
+        "Released under the GPLv3 or later.",
+        "Distributed under the terms of the GPLv2.",
+        "This program is licensed under the GPL version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "This library is licensed under LGPLv3.",
+        "Released under the LGPLv3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
         "Distributed under the terms of the AGPLv3 license.",
+        "Released under the AGPLv3.",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -129,6 +143,8 @@ OTHERS = [
     "The software company reported record sales this quarter.",
     "The Apache helicopter landed near the village.",
     "She studied physics at MIT before moving to the west coast.",
+    "He walked across the MIT bridge to the campus.",
+    "The MIT press release came out on Monday.",
     "The general public was invited to the opening of the museum.",
     "The licensing agreement between the two clubs expired last year.",
     "Users report that the new version is free of errors and works well.",
@@ -141,6 +157,36 @@ OTHERS = [
     "The creative commons room is on the second floor of the library.",
 ]
 
+#: Notices of licences that are no family here: unknown, too.
+OUTSIDERS = [
+    "Eclipse Public License - v 2.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the EUPL, version 1.2.",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "SPDX-License-Identifier: BSL-1.0",
+    "Released under the ISC License.",
+    "SPDX-License-Identifier: ISC",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
+    "Distributed under the zlib license.",
+    "SPDX-License-Identifier: Zlib",
+    "This software is provided as is, without any express or implied warranty.",
+    "Artistic License 2.0",
+    "This library is free software; you may redistribute it under the same terms as Perl itself.",
+    "Licensed under the Microsoft Public License.",
+    "The contents of this file are subject to the Common Development and Distribution License.",
+    "SPDX-License-Identifier: CDDL-1.0",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "SPDX-License-Identifier: OFL-1.1",
+    "Do What The Fuck You Want To Public License",
+    "Licensed under the Academic Free License version 3.0.",
+    "Licensed under the Python Software Foundation License.",
+    "SPDX-License-Identifier: PostgreSQL",
+    "Licensed under the Business Source License 1.1.",
+    "This data is made available under the Open Database License.",
+    "Licensed under the Server Side Public License, version 1.",
+]
+
 
 def words(text: str) -> list[str]:
     return [w for w in re.sub("[^a-z0-9]+", " ", text.lower()).split(" ") if w]
@@ -168,7 +214,7 @@ class Model:
         self.families = [*sorted(NOTICES), UNKNOWN]
         train, held = [], []
         filler = [w for t in OTHERS for w in words(t)]
-        for family, texts in [*sorted(NOTICES.items()), (UNKNOWN, OTHERS)]:
+        for family, texts in [*sorted(NOTICES.items()), (UNKNOWN, OTHERS + OUTSIDERS)]:
             for text in pieces(texts):
                 for n in range(VARIANTS):
                     own = words(text)
@@ -192,7 +238,7 @@ class Model:
         both = lambda t: {zlib.crc32(g.encode()) for g in grams(words(t), 2)}
         self.notices = [[sorted(both(t)) for t in pieces(NOTICES[f])] for f in self.families[:-1]]
         #: Pairs that are in the notices of one family only.
-        self.telling = [sorted(set().union(*map(both, NOTICES[f])) - set().union(*(both(t) for g in NOTICES if g != f for t in NOTICES[g]), *map(both, OTHERS))) for f in self.families[:-1]]
+        self.telling = [sorted(set().union(*map(both, NOTICES[f])) - set().union(*(both(t) for g in NOTICES if g != f for t in NOTICES[g]), *map(both, OTHERS + OUTSIDERS))) for f in self.families[:-1]]
         self.telling_pairs = [g for g in sorted({g for t in sum(NOTICES.values(), []) for g in grams(words(t), 2)}) if any(zlib.crc32(g.encode()) in t for t in self.telling)]
         self.all_pairs = sorted({g for f in NOTICES for t in NOTICES[f] for g in grams(words(t), 2)})
         self.pairs = [sorted(set().union(*map(both, NOTICES[f]))) for f in self.families[:-1]]
@@ -245,6 +291,12 @@ class Model:
         probability, contained, _, family = max(found or judged)
         return family, probability, contained
 
+    def families_in(self, text: str) -> set[str]:
+        """The families of a text: the scan in plain Python."""
+        over = [s for s in wrapped(text) if {f"{a} {b}" for a, b in re.findall(OVER, s.lower())} & set(self.all_pairs)]
+        own = [s for line in re.split("\n+", text) for s in re.split(SENTENCE_END, line)] + over
+        return {self._judge(s)[3] for s in own if s.strip(" ")} - {UNKNOWN}
+
     def _judge(self, sentence: str) -> tuple[float, float, str, str]:
         own = words(sentence)
         z = self.logits(hashes(own)) / 100 / self.temperature
@@ -259,6 +311,11 @@ class Model:
         return float(p[best]), share, sentence, self.families[best] if found else UNKNOWN
 
 
+def wrapped(text: str) -> list[str]:
+    """Sentences that go over line ends."""
+    return [s for p in re.split(BLANK_LINE, text) for s in re.split(WRAPPED_END, p) if "\n" in s.strip("\n")]
+
+
 @cache
 def fitted() -> Model:
     return Model()
@@ -276,6 +333,11 @@ def sentences(paragraph: Column) -> Column:
     return F.filter(F.split(paragraph, SENTENCE_END, -1), lambda s: F.trim(s) != "")
 
 
+def _wrapped(text: Column) -> Column:
+    whole = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), BLANK_LINE, -1), lambda p: F.split(p, WRAPPED_END, -1)))
+    return F.filter(whole, lambda s: F.trim(F.lit("\n"), s).contains("\n"))
+
+
 def _grams(own: Column, n: int) -> Column:
     starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - (n - 1)))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.crc32(F.array_join(F.slice(own, i, F.lit(n)), " ").cast("binary")))
@@ -290,7 +352,8 @@ def _pairs(sentence: Column) -> Column:
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: Model | None = None) -> DataFrame:
     """The columns ``keep``, ``n_paragraphs``, and ``hits``: an array of (paragraph, family, probability, contained, others). A line with a cue word
     has one hit: the surest of its sentences that probability and comparison both confirm, else one of family ``unknown``. ``others`` are the
-    surest sentences for further families in that line. Lines without a cue word are judged alike, and listed if a sentence is confirmed."""
+    surest sentences for further families in that line. Lines without a cue word are judged alike, and listed if a sentence is confirmed, as
+    are sentences over line ends, for families that no line has."""
     held = model or fitted()
     n = len(held.families)
     prints, weights, bias = _constant(held.prints, "array<bigint>"), _constant(held.weights.ravel().tolist(), "array<int>"), _constant(held.bias, "array<int>")
@@ -324,26 +387,36 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     # containment needs half of the sentence's pairs in notices, or a pair that tells a family: this passes all that could be confirmed
     fits = lambda w: F.arrays_overlap(w, telling_pairs) | (F.size(F.array_intersect(w, all_pairs)) >= LEAST_CONTAINED * F.size(F.array_distinct(w)))
     near = lambda s: F.exists(F.array(_pairs(s)), lambda w: F.arrays_overlap(w, all_pairs) & fits(w))
-    own = F.transform(paragraphs(F.col(text)), lambda p: F.struct(p.alias("p"), p.rlike(CUE).alias("cued")))
-    chosen = F.transform(own, lambda r: F.struct(r["p"].alias("p"), r["cued"].alias("cued"), F.when(r["cued"], sentences(r["p"])).otherwise(F.filter(sentences(r["p"]), near)).alias("own")))
-    some = F.filter(chosen, lambda r: F.size(r["own"]) > 0)
-    lines = step(some, judged=lambda r: judged(r["own"]), cued=lambda r: r["cued"])
-    split = step(lines, cued=lambda r: r["cued"], judged=lambda r: r["judged"], found=lambda r: F.filter(r["judged"], lambda j: j["family"] != UNKNOWN))
+    own = F.transform(paragraphs(named(text)), lambda p: F.struct(p.alias("p"), p.rlike(CUE).alias("cued"), F.lit(False).alias("over")))
+    chosen = F.transform(own, lambda r: F.struct(r["p"].alias("p"), r["cued"].alias("cued"), F.when(r["cued"], sentences(r["p"])).otherwise(F.filter(sentences(r["p"]), near)).alias("own"), r["over"].alias("over")))
+    ends = lambda s, k: F.regexp_extract_all(F.lower(s), F.lit(OVER), F.lit(k))
+    crossing = lambda s: F.arrays_overlap(F.zip_with(ends(s, 1), ends(s, 2), lambda a, b: F.concat(a, F.lit(" "), b)), all_pairs)
+    over = F.transform(F.filter(F.filter(_wrapped(named(text)), crossing), near), lambda s: F.struct(s.alias("p"), F.lit(False).alias("cued"), F.array(s).alias("own"), F.lit(True).alias("over")))
+    some = F.filter(F.concat(chosen, over), lambda r: F.size(r["own"]) > 0)
+    lines = step(some, judged=lambda r: judged(r["own"]), cued=lambda r: r["cued"], over=lambda r: r["over"])
+    split = step(lines, cued=lambda r: r["cued"], over=lambda r: r["over"], judged=lambda r: r["judged"], found=lambda r: F.filter(r["judged"], lambda j: j["family"] != UNKNOWN))
     surest = lambda r: F.array_max(F.when(F.size(r["found"]) > 0, r["found"]).otherwise(r["judged"]))
     listed = F.filter(split, lambda r: r["cued"] | (F.size(r["found"]) > 0))
-    first = step(listed, found=lambda r: r["found"], first=surest)
+    first = step(listed, found=lambda r: r["found"], first=surest, over=lambda r: r["over"])
     shown = lambda j: [j[k].alias(k) for k in ("paragraph", "family", "probability", "contained")]
     further = lambda r: F.filter(F.array_distinct(F.transform(r["found"], lambda j: j["family"])), lambda f: f != r["first"]["family"])
     others = lambda r: F.transform(F.transform(further(r), lambda f: F.array_max(F.filter(r["found"], lambda j: j["family"] == f))), lambda j: F.struct(*shown(j)))
-    hits = F.transform(first, lambda r: F.struct(*shown(r["first"]), others(r).alias("others")))
-    return docs.select(*keep, F.size(paragraphs(F.col(text))).cast("long").alias("n_paragraphs"), hits.alias("hits"))
+    hits = F.transform(first, lambda r: F.struct(*shown(r["first"]), others(r).alias("others"), r["over"].alias("over")))
+    kept = Kept(keep, ("n_paragraphs", "hits"))
+    # a sentence over line ends is listed for a family that no line has
+    scanned = docs.select(*kept.held(), F.size(paragraphs(named(text))).cast("long").alias("n_paragraphs"), hits.alias("hits"))
+    of_lines = F.flatten(F.transform(F.filter("hits", lambda h: ~h["over"]), lambda h: F.concat(F.array(h["family"]), F.transform(h["others"], lambda o: o["family"]))))
+    once = F.filter("hits", lambda h: ~h["over"] | ~F.array_contains(of_lines, h["family"]))
+    listed_hits = F.transform(F.when(F.exists("hits", lambda h: h["over"]), once).otherwise(F.col("hits")), lambda h: F.struct(*shown(h), h["others"].alias("others")))
+    return scanned.select(*kept.back(), "n_paragraphs", listed_hits.alias("hits"))
 
 
 def report(scanned: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document: n_paragraphs, n_cued, n_licensed (paragraphs with a family), families (sorted, comma-joined; empty: none), probability of the surest hit."""
+    kept = Kept(keep, ("n_paragraphs", "n_cued", "n_licensed", "families", "probability"))
     sure = F.filter("hits", lambda h: h["family"] != UNKNOWN)
-    return scanned.select(*keep, "n_paragraphs", F.size("hits").cast("long").alias("n_cued"), sure.alias("sure")).select(
-        *keep,
+    return scanned.select(*kept.held(), "n_paragraphs", F.size("hits").cast("long").alias("n_cued"), sure.alias("sure")).select(
+        *kept.back(),
         "n_paragraphs",
         "n_cued",
         F.size("sure").cast("long").alias("n_licensed"),

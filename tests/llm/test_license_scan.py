@@ -68,6 +68,48 @@ def test_query_is_native_and_has_a_row_for_each_document(spark, sf):
         assert all(family in rows[i].families.split(",") for i, t in texts.items() if notice in t.split("\n"))
 
 
+def test_report_equals_plain_python_over_documents(spark, sf):
+    model = L.fitted()
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, sf, "documents").collect()}
+    got = {r.doc_id: r.families for r in queries.op2_license_scan(spark, sf).collect()}
+    want = {i: ",".join(sorted(model.families_in(t))) for i, t in texts.items()}
+    assert got == want and len({w for w in want.values() if w}) >= 4
+    # what was planted are whole lines; recall and precision by document
+    planted = {"This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "proprietary", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache"}
+    truth = {(i, planted[line]) for i, t in texts.items() for line in t.split("\n") if line in planted}
+    found = {(i, f) for i, own in got.items() if own for f in own.split(",")}
+    assert truth and len(truth & found) >= 0.98 * len(truth) and len(truth & found) >= 0.98 * len(found)
+
+
+def test_other_licences_are_unknown(spark):
+    texts = ["Eclipse Public License v1.0", "The Artistic License", "Released under the zlib license.", "SPDX-License-Identifier: EUPL-1.2", "Licensed under the Open Software License 3.0", "Distributed under the Eclipse Distribution License", "Licensed under the Boost Software License 1.0", "Released under the ISC license", "Available under the Open Database License 1.0", "Licensed under the SIL Open Font License"]
+    assert all(h.family == L.UNKNOWN for r in judged(spark, texts).values() for h in r.hits)
+
+
+def test_wrapped_notices(spark):
+    texts = [
+        "/* Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation files\n * (the Software), to deal in the Software without restriction. */\n\nOther text",
+        "Some words before. This work is licensed under the GNU General\nPublic License,\nversion 3. And some after.",
+        "Released under\n\nthe MIT bridge. License plates were sold there.",
+        "Released under the MIT License.\nReleased under the MIT License.",
+        "ends here\nReleased under the\nMIT License",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = L.report(L.scan(df)).orderBy("doc_id").collect()
+    assert [r.families for r in rows] == ["mit", "gpl", "", "mit", "mit"]
+    assert rows[3].n_licensed == 2
+    assert [",".join(sorted(L.fitted().families_in(t))) for t in texts] == [r.families for r in rows]
+
+
+def test_kept_columns_of_any_name(spark):
+    names = ["hits", "n_paragraphs", "families", "p", "cued", "own", "over", "sure", "doc_id", "__k0"]
+    df = spark.sql("SELECT 'Released under the MIT License.' AS text, " + ", ".join(f"{i} AS `{n}`" for i, n in enumerate(names)))
+    found = L.scan(df, keep=tuple(names))
+    assert found.columns == ["hits_kept", "n_paragraphs_kept", *names[2:], "n_paragraphs", "hits"]
+    row = L.report(found, keep=("hits_kept", *names[2:])).first()
+    assert (row.hits_kept, row.families_kept, row.families, row.n_licensed, row.own) == (0, 2, "mit", 1, 5)
+
+
 def test_notices_inside_prose(spark):
     prose = "The old mill by the river was built of red brick and has kept its wooden wheel until this very day, they say"
     texts = {
