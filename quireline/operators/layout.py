@@ -90,7 +90,7 @@ def number_column_skew(df: DataFrame, page: list[str], *, x: str, y: str, width:
             if slopes:
                 slope = median(slopes)
                 start = median(px - slope * py for px, py in points)
-                near = sum(abs(px - start - slope * py) <= reach for px, py in points)
+                near = sum(abs(px - (start + slope * py)) <= reach for px, py in points)
                 skew = 0.0 - atan(slope) if 4 * near >= 3 * len(points) and abs(atan(slope)) <= LARGEST_SKEW else None
         return [(*rows[0][:keys], skew)]
 

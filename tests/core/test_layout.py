@@ -69,3 +69,10 @@ def test_clusters_differ(spark):
     df = spark.createDataFrame([(1, float(v)) for v in (0, 1, 2)], "d int, v double")
     assert {r.cluster for r in scans.chain_clusters(df, "d", "v", 1.5).collect()} == {0}
     assert sorted((r.value, r.cluster) for r in scans.anchor_clusters(df, "d", "v", 1.5).collect()) == [(0, 0), (1, 0), (2, 1)]
+
+
+def test_numbers_at_the_tolerance_count_as_near(spark):
+    points = [(0, 515), (7, 636), (7, 914), (7, 658), (0, 290), (0, 284)]  # two lie at 4 from the line to the last bit
+    df = spark.createDataFrame([(1, 900.0 + d, float(y)) for d, y in points], "page int, x double, y double")
+    got = L.number_column_skew(df, ["page"], x="x", y="y", width=F.lit(1000), height=F.lit(1000), tolerance=F.lit(4)).first().skew
+    assert got == pytest.approx(-0.017542, abs=1e-6)
