@@ -40,16 +40,58 @@ def misoriented_share(df: DataFrame, page: list[str], *, angle: str = "angle") -
 
 
 def drop_contained(df: DataFrame, page: list[str], key: str, text: str, *, least: float = 0.7) -> DataFrame:
-    """Without observations whose text is part of another's and whose box is covered by it to ``least``; of equal texts the smallest key stays."""
-    a, b = df.alias("a"), df.alias("b")
-    same_page = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in page]
-    inside = F.col(f"b.{text}").contains(F.col(f"a.{text}")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))
-    later = (F.col(f"a.{text}") != F.col(f"b.{text}")) | (F.col(f"b.{key}") < F.col(f"a.{key}"))
-    covers = shared_area("a", "b") >= least * area("a")
-    condition = inside & later & covers
-    for c in same_page:
-        condition = condition & c
-    return a.join(b, condition, "left_anti")
+    """Without observations whose text is part of another's and whose box is covered by it to ``least``; of equal texts the smallest key stays.
+
+    Equal texts with equal boxes are one class, and classes are compared where ``contained`` finds that one text may be part of the other: pages may
+    be large. This is done at once; texts and classes stay on the executors' disks, and the class and key of each row that stays."""
+    from pyspark import StorageLevel
+
+    from quireline.operators import contained
+
+    sides = ["min_x", "min_y", "max_x", "max_y"]
+    names = [f"__p{i}" for i in range(len(page))]
+    place = F.to_json(F.struct(*(F.col(c).alias(n) for c, n in zip(page, names, strict=True)))).cast("binary")
+    usable = F.col(key).isNotNull() & F.col(text).isNotNull()
+    for c in page:
+        usable = usable & F.col(c).isNotNull()
+    tid = F.unhex(F.sha2(F.concat(place, F.lit(b"\0"), F.col(text).cast("binary")), 256))
+    cid = F.unhex(F.sha2(F.concat(F.col("__tid"), F.to_json(F.struct(*sides)).cast("binary")), 256))
+    named = df.withColumn("__tid", F.when(usable, tid)).withColumn("__cid", cid)
+    rows = named.filter(F.col("__tid").isNotNull()).select("__cid", "__tid", F.col(key).alias("key"), *(F.col(c).alias(n) for c, n in zip(page, names, strict=True)), F.octet_length(text).alias("size"), *sides)
+    same = [*names, "size", *sides]
+    classes = rows.groupBy("__cid", "__tid").agg(*(F.first(c).alias(c) for c in same), F.min("key").alias("low"), F.max("key").alias("high")).persist(StorageLevel.DISK_ONLY)
+    texts = named.filter(F.col("__tid").isNotNull()).select(F.col("__tid").alias("id"), F.xxhash64(*page).alias("grp"), F.col(text).alias("text")).dropDuplicates(["id"]).persist(StorageLevel.DISK_ONLY)
+    covered = lambda a, b: F.coalesce(shared_area(a, b) >= least * area(a), F.lit(False))
+    own = classes.alias("a").withColumn("whole", covered("a", "a"))
+    odd = own.filter(~F.col("whole")).select("__cid").join(rows, "__cid").select("__cid", "__tid", "key", *same).distinct()
+    asked = own.filter("whole").select("__cid", "__tid", F.col("low").alias("key"), *same).unionByName(odd).persist(StorageLevel.DISK_ONLY)
+
+    def of(a: DataFrame, b: DataFrame, met: Column) -> DataFrame:
+        """Rows of both whose boxes and pages fit."""
+        for n in names:
+            met = met & (F.col(f"a.{n}") == F.col(f"b.{n}"))
+        return a.alias("a").join(b.alias("b"), met & covered("a", "b")).select(F.col("a.__cid").alias("__cid"), F.col("a.key").alias("key"), F.col("a.__tid").alias("tid_a"), F.col("b.__tid").alias("tid_b"))
+
+    def inside(pairs: DataFrame, left: DataFrame) -> DataFrame:
+        """Class and key of those of ``left`` whose text is part of the other of its ``pairs`` (tid_a, tid_b)."""
+        met = (F.col("a.tid_b") == F.col("b.__tid")) & (F.col("a.size") < F.col("b.size")) & ((F.col("a.key") != F.col("b.low")) | (F.col("a.key") != F.col("b.high")))
+        fit = of(left.join(pairs.withColumnRenamed("tid_a", "__tid"), "__tid"), classes, met)
+        two = fit.select("tid_a", "tid_b").distinct().join(texts.select(F.col("id").alias("tid_a"), F.col("text").alias("x")), "tid_a").join(texts.select(F.col("id").alias("tid_b"), F.col("text").alias("y")), "tid_b")
+        return fit.join(two.filter(F.col("y").contains(F.col("x"))).select("tid_a", "tid_b"), ["tid_a", "tid_b"]).select("__cid", "key").distinct()
+
+    equal = of(asked, classes, (F.col("a.__tid") == F.col("b.__tid")) & (F.col("a.__cid") != F.col("b.__cid")) & (F.col("b.low") < F.col("a.key"))).select("__cid", "key").distinct()
+    left = asked.join(equal, ["__cid", "key"], "left_anti").persist(StorageLevel.DISK_ONLY)
+    anchors, marks = contained.candidates(texts, texts)
+    marks = marks.join(anchors.select("anchor").distinct(), "anchor").persist(StorageLevel.DISK_ONLY)
+    longest = marks.groupBy("anchor").agg(F.max(F.struct("size", "id")).alias("most"))
+    asks = anchors.select(F.col("id").alias("tid_a"), "anchor")
+    first = inside(asks.join(longest, "anchor").select("tid_a", F.col("most.id").alias("tid_b")), left)
+    left = left.join(first, ["__cid", "key"], "left_anti").persist(StorageLevel.DISK_ONLY)
+    sized = asks.join(left.select(F.col("__tid").alias("tid_a"), "size").distinct(), "tid_a")
+    others = sized.alias("s").join(marks.alias("m"), (F.col("s.anchor") == F.col("m.anchor")) & (F.col("s.size") < F.col("m.size"))).select("tid_a", F.col("id").alias("tid_b"))
+    stays = left.join(inside(others, left), ["__cid", "key"], "left_anti").select("__cid", F.col("key").alias("__key"), F.lit(True).alias("__stays")).persist(StorageLevel.DISK_ONLY)
+    held = named.alias("a").join(stays.alias("b"), (F.col("a.__cid") == F.col("b.__cid")) & (F.col(f"a.{key}") == F.col("b.__key")), "left")
+    return held.filter(F.col("__tid").isNull() | F.col("__stays")).select("a.*").drop("__tid", "__cid")
 
 
 def estimate_skew(df: DataFrame, page: list[str], *, angle: str = "angle", long: float = 5.0) -> DataFrame:

@@ -1,10 +1,12 @@
 """Boxes, lines, columns, skew and policy columns on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quireline.operators import layout as L
-from quireline.operators import matching, policy, scans
+from quireline.operators import contained, matching, policy, scans
 
 BOX = "page int, id int, text string, min_x double, min_y double, max_x double, max_y double, angle double"
 
@@ -76,3 +78,33 @@ def test_numbers_at_the_tolerance_count_as_near(spark):
     df = spark.createDataFrame([(1, 900.0 + d, float(y)) for d, y in points], "page int, x double, y double")
     got = L.number_column_skew(df, ["page"], x="x", y="y", width=F.lit(1000), height=F.lit(1000), tolerance=F.lit(4)).first().skew
     assert got == pytest.approx(-0.017542, abs=1e-6)
+
+
+def test_contained_equals_all_pairs(spark):
+    rng = random.Random(3)
+    whole = "".join(rng.choice("abcdé \n") for _ in range(9000))
+    rows = []
+    for i in range(400):
+        size = rng.choice([0, 1, 2, 3, 7, 14, 15, 40, 63, 200, 255, 1023, 2500])
+        at = rng.randrange(len(whole) - size)
+        text = whole[at : at + size]
+        text = text[: size // 2] + "X" + text[size // 2 :] if rng.random() < 0.3 else text
+        box = rng.choice([(0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 1.0, 1.0), (0.5, 0.0, 2.0, 1.0), (3.0, 3.0, 3.0, 4.0), (1.0, 0.0, 0.0, 1.0), (None, 0.0, 1.0, 1.0)])
+        rows.append((rng.choice([1, 2, None]), rng.choice([None, *range(300)]), None if rng.random() < 0.03 else text, *box, 0.0))
+    df = spark.createDataFrame(rows, BOX).repartition(3)
+    a, b = df.alias("a"), df.alias("b")
+    inside = F.col("b.text").contains(F.col("a.text")) & (F.col("a.id") != F.col("b.id")) & ((F.col("a.text") != F.col("b.text")) | (F.col("b.id") < F.col("a.id")))
+    want = a.join(b, inside & (F.col("a.page") == F.col("b.page")) & (L.shared_area("a", "b") >= 0.7 * L.area("a")), "left_anti")
+    got = L.drop_contained(df, ["page"], "id", "text")
+    assert got.columns == df.columns
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) != sorted(map(key, df.collect()))
+
+
+def test_few_texts_of_a_page_are_compared(spark):
+    rng = random.Random(4)
+    common = " ".join(f"c{rng.randrange(1000)}" for _ in range(200))
+    rows = [(i, 1, f"{common} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(30))} {common}") for i in range(600)]
+    texts = spark.createDataFrame([(str(i).encode(), g, t) for i, g, t in rows], "id binary, grp long, text string")
+    anchors, marks = contained.candidates(texts, texts)
+    assert 600 <= anchors.join(marks, "anchor").count() < 900  # each with itself and few others, not 360,000
