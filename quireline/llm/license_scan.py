@@ -41,6 +41,8 @@ SENTENCE_END, WRAPPED_END = r"(?<=[.!?;])[ \t\r\f\x0b]+", r"(?<=[.!?;])[ \t\r\f\
 BLANK_LINE = r"\n[ \t\r\f\x0b]*\n\s*"
 #: The last word of a line (1) and the first of the next with words (2).
 OVER = r"\b([a-z0-9]++)[^a-z0-9\n]*+\n[^a-z0-9]*+(?=([a-z0-9]++))"
+#: The first word after line ends, wherever ``OVER`` finds one and in some more places; it passes over whole lines at once.
+NEXT = r"\n[^a-z0-9]*+([a-z0-9]++)"
 CUE = r"(?i)licen[cs]|copyright|\(c\)|spdx|warrant|permi(ssion|tted)|redistribut|public domain|creative commons|\bcc[ -](by|0)|all rights reserved|unlicense"
 
 NOTICES = {
@@ -358,7 +360,6 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     n = len(held.families)
     prints, weights, bias = _constant(held.prints, "array<bigint>"), _constant(held.weights.ravel().tolist(), "array<int>"), _constant(held.bias, "array<int>")
     names, pairs = _constant(held.families, "array<string>"), _constant(held.pairs, "array<array<bigint>>")
-    all_pairs, telling_pairs = (_constant(x, "array<string>") for x in (held.all_pairs, held.telling_pairs))
     notices, telling = _constant(held.notices, "array<array<array<bigint>>>"), _constant(held.telling, "array<array<bigint>>")
 
     def step(record: Column, **new: Column) -> Column:
@@ -385,12 +386,16 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         return F.transform(five, lambda r: F.struct(r["probability"].alias("probability"), r["contained"].alias("contained"), r["p"].alias("paragraph"), F.when(sure(r), r["family"]).otherwise(UNKNOWN).alias("family")))
 
     # containment needs half of the sentence's pairs in notices, or a pair that tells a family: this passes all that could be confirmed
-    fits = lambda w: F.arrays_overlap(w, telling_pairs) | (F.size(F.array_intersect(w, all_pairs)) >= LEAST_CONTAINED * F.size(F.array_distinct(w)))
-    near = lambda s: F.exists(F.array(_pairs(s)), lambda w: F.arrays_overlap(w, all_pairs) & fits(w))
+    # (tests against a list are one look-up a pair, where functions of two arrays go through all pairs of the notices for each sentence)
+    fits = lambda w, k: F.exists(k, lambda p: p.isin(held.telling_pairs)) | (F.size(F.array_distinct(k)) >= LEAST_CONTAINED * F.size(F.array_distinct(w)))
+    in_notices = lambda s: F.transform(F.array(_pairs(s)), lambda w: F.struct(w.alias("w"), F.filter(w, lambda p: p.isin(held.all_pairs)).alias("k")))
+    near = lambda s: F.exists(in_notices(s), lambda r: (F.size(r["k"]) > 0) & fits(r["w"], r["k"]))
     own = F.transform(paragraphs(named(text)), lambda p: F.struct(p.alias("p"), p.rlike(CUE).alias("cued"), F.lit(False).alias("over")))
     chosen = F.transform(own, lambda r: F.struct(r["p"].alias("p"), r["cued"].alias("cued"), F.when(r["cued"], sentences(r["p"])).otherwise(F.filter(sentences(r["p"]), near)).alias("own"), r["over"].alias("over")))
     ends = lambda s, k: F.regexp_extract_all(F.lower(s), F.lit(OVER), F.lit(k))
-    crossing = lambda s: F.arrays_overlap(F.zip_with(ends(s, 1), ends(s, 2), lambda a, b: F.concat(a, F.lit(" "), b)), all_pairs)
+    seconds = sorted({p.split(" ")[1] for p in held.all_pairs})
+    may_cross = lambda s: F.exists(F.regexp_extract_all(F.lower(s), F.lit(NEXT), F.lit(1)), lambda w: w.isin(seconds))
+    crossing = lambda s: may_cross(s) & F.exists(F.zip_with(ends(s, 1), ends(s, 2), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isin(held.all_pairs))
     over = F.transform(F.filter(F.filter(_wrapped(named(text)), crossing), near), lambda s: F.struct(s.alias("p"), F.lit(False).alias("cued"), F.array(s).alias("own"), F.lit(True).alias("over")))
     some = F.filter(F.concat(chosen, over), lambda r: F.size(r["own"]) > 0)
     lines = step(some, judged=lambda r: judged(r["own"]), cued=lambda r: r["cued"], over=lambda r: r["over"])

@@ -138,3 +138,11 @@ def test_lines_without_cue_words_are_judged(spark):
     texts = [t for t in (" ".join(rng.choices(pool, k=rng.randrange(1, 12))) for _ in range(400)) if not L.re.search(L.CUE, t)]
     for i, r in judged(spark, texts).items():
         assert [h.family for h in r.hits] == [f for f in [model.judge(texts[i])[0]] if f != L.UNKNOWN], texts[i]
+
+
+def test_pairs_of_all_sentences_are_looked_up(spark):
+    docs = spark.createDataFrame([(1, "This file is under the\nMIT License. Nothing else.\n")], "doc_id long, text string")
+    scanned = L.scan(docs)
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and plan.count("arrays_overlap") == 1  # the one left is for sentences that are judged
+    assert L.fitted().families_in(docs.first().text) == {r.family for r in scanned.first().hits} - {L.UNKNOWN}
