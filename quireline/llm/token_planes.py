@@ -41,7 +41,7 @@ BLOCK_IDS = 1 << 16
 #: Parts into which the rows of one doc_id and text are dealt.
 SALTS = 256
 #: Pieces that are remembered, the bytes from which a piece is not, and the bytes of texts that are encoded together.
-REMEMBERED, LONG, TOGETHER = 1_000_000, 200, 1 << 20
+REMEMBERED, LONG, TOGETHER = 320_000, 200, 1 << 20
 #: A run of these behind letters, up to the end of a piece, is one token text of its own.
 STOPS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -183,17 +183,17 @@ class LibraryEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.packed = [struct.pack("<I", i) for i in range(len(self.ends))]  # a piece of one token has no bytes of its own
         self.merges = self.tokenizer.model.tokenize
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        known, merges, others = self.known, self.merges, []
+        known, merges, packed, others = self.known, self.merges, self.packed, []
         for w in words:
             if w.isalpha():
-                ids = [t.id for t in merges(w.decode())]
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                known[w] = b"".join([packed[t.id] for t in merges(w.decode())])
             else:
                 others.append(w)
         words, texts = others, [w.decode("utf-8") for w in others]
@@ -221,9 +221,7 @@ class LibraryEncoder:
         if len(known) > REMEMBERED:
             known.clear()
         split = [t.split() for t in texts]
-        out = [list(map(known.get, parts)) for parts in split]
-        open_texts = [i for i, ids in enumerate(out) if None in ids]
-        new = {p for i in open_texts for p, ids in zip(split[i], out[i], strict=True) if ids is None}
+        new = set().union(*split).difference(known)
         made, words = [], set()
         for p in new:
             low = p.lower()
@@ -240,12 +238,11 @@ class LibraryEncoder:
         self._learn([w for w in words if w not in known])
         for p, word, stops in made:
             known[p] = known[word] + known[stops] if stops else known[word]
-        for i in open_texts:
-            out[i] = [known[p] if ids is None else ids for p, ids in zip(split[i], out[i], strict=True)]
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
         for p in new | words:
             if len(p) >= LONG:
                 known.pop(p, None)
-        return [b"".join(ids) for ids in out]
+        return out
 
 
 @cache
@@ -299,6 +296,7 @@ def read_documents(shards: DataFrame, doc_id_type: str) -> DataFrame:
     """Per document of the shard files: doc_id, start, n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_encoder.cache_clear()  # workers that have written shards still hold one
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 files, place = filesystem(path)

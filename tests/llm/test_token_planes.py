@@ -107,3 +107,10 @@ def test_query(spark, sf):
         ids = ids_of(texts[doc])
         assert (got[doc].start, got[doc].n_tokens, got[doc].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_remembered_pieces_stay_few():
+    encoder = T.LibraryEncoder(queries.vocabulary_path())
+    for low in range(0, 400_000, 50_000):
+        encoder.encode([" ".join(f"{i}," for i in range(low, low + 50_000)).encode()])
+    assert len(encoder.known) < 400_000
