@@ -13,10 +13,10 @@ A text's set is its distinct k-word shingles, kept as sorted 64-bit hashes. Two
 5. Links make the components; a text's component is the smallest doc_id in it.
 
 No link can be missed: every pair of classes is in one group or in a pair of groups, and steps 3 and 4 skip only what the bounds rule out. The
-order of tokens comes from their counts in a share of the texts; it changes how many groups are opened, never the result. A block's tasks
+order of tokens comes from counts over all texts, by a remainder of the token; it changes how many groups are opened, never the result. A block's tasks
 are fixed in size, whatever the size of a group, and a text travels once for each block that it is opened against.
 
-Tables of sets, groups and links are written to the shared folder. Nothing is collected but bounded lists: the commonest tokens, and a bit
+Tables of sets, groups and links are written to the shared folder. Nothing is collected but bounded arrays: the counters of tokens, and a bit
 map of wanted texts, whose false hits a join removes.
 
 Null and empty texts have an empty set and link with nothing: their component is their own doc_id. With fewer than k words the whole sequence
@@ -37,11 +37,12 @@ from quireline.llm.columns import named
 from quireline.llm.components import components
 from quireline.llm.hashing import ngrams, nonspace_mask, word_rounds
 from quireline.llm.storage import small_batches, written
+from quireline.operators.contained import chunks_of, sum_of
 
 #: Shared prefix tokens that a pair of groups needs; pairs of bin minima by which classes are grouped.
 SHARED, BANDS = 4, 6
-#: One text in so many is counted for the order of tokens; tokens in so many of them are common; at most so many common ones are listed.
-COUNTED, COMMON, LISTED = 16, 4, 1 << 18
+#: Counters of texts by the remainders of their tokens, which give the order of tokens.
+COUNTERS = 1 << 21
 #: Members of a block, columns of an incidence matrix, and most bits of the map of wanted texts.
 BLOCK, COLUMNS, MAP_BITS = 1024, 2048, 1 << 28
 #: Parts into which the rows of one key are dealt, and classes of a key from which those of its group are.
@@ -75,42 +76,35 @@ def _band_keys(tokens: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f"{i},{low[i]},{low[i + BANDS]}".encode()) - (1 << 63) for i in range(BANDS) if low[i] or low[i + BANDS]]
 
 
-def _prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: int) -> np.ndarray:
+def _prefix(tokens: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
     n = len(tokens)
     need = _least(n, threshold)
-    size = n - need + min(SHARED, need)
-    if len(common):
-        place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        listed = common[place] == tokens
-        rare = tokens[~listed]
-        if len(rare) >= size:
-            return rare[:size]
-        more = tokens[listed]
-        tokens = np.concatenate([rare, more[np.argsort(rank[place[listed]], kind="stable")]])
-    return tokens[:size]
+    order = np.argsort(counts[tokens % np.uint64(len(counts))], kind="stable")  # of equal counts the smaller token
+    return tokens[order[: n - need + min(SHARED, need)]]
 
 
-def _common_tokens(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted common tokens, place of each in the order of counts)."""
+def _token_counts(texts: DataFrame, k: int) -> np.ndarray:
+    """How many texts have tokens of each remainder by ``COUNTERS``: of all texts, added up by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, size = np.zeros(COUNTERS, np.uint32), [], 0
         for batch in batches:
-            held, size = [], 0
             for _, tokens in token_sets(batch.column("text"), k):
                 held.append(tokens)
                 size += len(tokens)
-                if size > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["token"])
+                if size > 1 << 18:
+                    _count(out, held)
                     held, size = [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["token"])
+        _count(out, held)
+        yield from chunks_of(out)
 
-    share = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
-    counts = share.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "token").limit(LISTED).collect()
-    tokens = np.array([r.token for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(tokens, kind="stable")
-    return tokens[order], (len(tokens) - 1 - np.arange(len(tokens)))[order]
+    return sum_of(texts.select("text").mapInArrow(run, "chunk int, data binary"), COUNTERS)
+
+
+def _count(out: np.ndarray, sets: list[np.ndarray]) -> None:
+    if sets:
+        place, n = np.unique((np.concatenate(sets) % np.uint64(len(out))).astype(np.uint32), return_counts=True)
+        out[place] += n.astype(np.uint32)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -123,16 +117,16 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 _SKETCH = "tk long, n long, node binary, keys array<long>, prefix binary"
 
 
-def _sketch(k: int, threshold: int, common):
+def _sketch(k: int, threshold: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, rank = common.value
+        held = counts.value
         for batch in _slices(batches):
             n, node, keys, prefix = [], [], [], []
             for _, tokens in token_sets(batch.column("text"), k):
                 n.append(len(tokens))
                 node.append(set_digest(tokens) if len(tokens) else None)
                 keys.append(_band_keys(tokens) if len(tokens) else None)
-                prefix.append(_prefix(tokens, listed, rank, threshold).tobytes() if len(tokens) else None)
+                prefix.append(_prefix(tokens, held, threshold).tobytes() if len(tokens) else None)
             arrays = [*(batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(c for c in batch.schema.names if c != "text"), "n", "node", "keys", "prefix"])
 
@@ -354,9 +348,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(named(doc_id).alias("doc_id"), named(text).cast("string").alias("text")).withColumn("tk", row_hash("text", "doc_id"))
-    common = spark.sparkContext.broadcast(_common_tokens(texts, k))
+    counts = spark.sparkContext.broadcast(_token_counts(texts, k))
     kind = docs.schema[doc_id].dataType.simpleString()
-    sketches = written(texts.select("doc_id", "tk", "text").mapInArrow(_sketch(k, threshold, common), f"doc_id {kind}, {_SKETCH}"), "jaccard-sketches")
+    sketches = written(texts.select("doc_id", "tk", "text").mapInArrow(_sketch(k, threshold, counts), f"doc_id {kind}, {_SKETCH}"), "jaccard-sketches")
     # one row stands for a class: tk finds its text again, rk its sketch
     rk = F.xxhash64("node", "doc_id", "tk")
     chosen = sketches.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.min(F.struct("doc_id", "tk")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quireline.llm import jaccard_join as J
@@ -106,3 +107,16 @@ def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_jaccard_join(spark, sf).collect()}
     assert got == J.brute_force(docs)
+
+
+def test_order_of_tokens_counts_every_text(spark):
+    texts = ["one common line of words", "one common line of words and more", *(f"text {i} of its own" for i in range(60)), None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    counts = J._token_counts(df, 4)
+    want = np.zeros(J.COUNTERS, np.uint32)
+    for _, tokens in J.token_sets(pa.array(texts), 4):
+        np.add.at(want, tokens % np.uint64(J.COUNTERS), 1)
+    assert (counts == want).all() and counts.max() >= 2
+    ((_, tokens),) = J.token_sets(pa.array([texts[1]]), 4)
+    rare = J._prefix(tokens, counts, 85)
+    assert len(rare) and counts[rare[0] % np.uint64(J.COUNTERS)] == 1
